@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pii, rule_cascade, sharding
+from . import fst_tokens, mixing, pfor, pii, rule_cascade, sharding
 from .storage import scratch_path
 
 
+TOKENIZER = "byte_bpe_50k.json"
+TOKEN_LIMIT = 1024
+
+
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(TOKENIZER))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -29,12 +39,21 @@ def op6_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "source", "copies")
 
 
+def op7_fst_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = fst_tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer())
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+def op8_pfor_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfor.token_id_files(table(spark, sf_dir, "documents"), tokenizer())
+
+
 def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_slot_sharding, op5_rule_cascade, op6_systematic_mix, op9_pii_spans)}
+    return {f.__name__: f for f in (op1_slot_sharding, op5_rule_cascade, op6_systematic_mix, op7_fst_token_counts, op8_pfor_token_ids, op9_pii_spans)}
 
 
 def oracle_sql() -> dict[str, str]:
