@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fst_tokens, mixing, pfor, pii, rule_cascade, sharding
+from . import fst_tokens, mixing, pfor, pii, rule_cascade, sharding, simhash_gph
 from .storage import scratch_path
 
 
@@ -30,6 +30,11 @@ def op1_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("place").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"))
 
 
+def op3_gph_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_gph.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op5_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_cascade.judge(table(spark, sf_dir, "documents")).drop("rejected_by")
 
@@ -53,7 +58,7 @@ def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_slot_sharding, op5_rule_cascade, op6_systematic_mix, op7_fst_token_counts, op8_pfor_token_ids, op9_pii_spans)}
+    return {f.__name__: f for f in (op1_slot_sharding, op3_gph_simhash, op5_rule_cascade, op6_systematic_mix, op7_fst_token_counts, op8_pfor_token_ids, op9_pii_spans)}
 
 
 def oracle_sql() -> dict[str, str]:
