@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fst_tokens, mixing, pfor, pii, rule_cascade, sharding, simhash_gph
+from . import decontam, fst_tokens, mixing, pfor, pii, rule_cascade, sharding, simhash_gph
 from .storage import scratch_path
 
 
@@ -57,8 +57,12 @@ def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+def op10_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_slot_sharding, op3_gph_simhash, op5_rule_cascade, op6_systematic_mix, op7_fst_token_counts, op8_pfor_token_ids, op9_pii_spans)}
+    return {f.__name__: f for f in (op1_slot_sharding, op3_gph_simhash, op5_rule_cascade, op6_systematic_mix, op7_fst_token_counts, op8_pfor_token_ids, op9_pii_spans, op10_minhash_containment)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,6 +7,8 @@ A-Z alone, so the Python operators work on bytes.
 
 from __future__ import annotations
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,3 +44,40 @@ def bind(value: Column, body) -> Column:
 def words_of(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z only) words of a text, as UTF-8; none for null."""
     return [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, kept for those seen; ``of`` forgets them all beyond ``most`` words."""
+
+    def __init__(self, most: int = 1_000_000) -> None:
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word, 42)
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > self.most:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64 bits that spreads them (all in uint64 arithmetic)."""
+    x = x ^ (x >> np.uint64(30))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x = x ^ (x >> np.uint64(27))
+    x = x * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the runs of ``width`` words; none if there are fewer words."""
+    n = len(words) - width + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    out = np.zeros(n, np.uint64)
+    for k in range(width):
+        out = mixed(out + words[k : k + n] + np.uint64(k + 1))
+    return out
