@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fst_tokens, mixing, pfor, pii, rule_cascade, sharding, simhash_gph
+from . import bloom_lm, decontam, fst_tokens, mixing, pfor, pii, rule_cascade, sharding, simhash_gph
 from .storage import scratch_path
 
 
@@ -35,6 +35,10 @@ def op3_gph_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_cascade.judge(table(spark, sf_dir, "documents")).drop("rejected_by")
 
@@ -62,7 +66,7 @@ def op10_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_slot_sharding, op3_gph_simhash, op5_rule_cascade, op6_systematic_mix, op7_fst_token_counts, op8_pfor_token_ids, op9_pii_spans, op10_minhash_containment)}
+    return {f.__name__: f for f in (op1_slot_sharding, op3_gph_simhash, op4_bloom_lm, op5_rule_cascade, op6_systematic_mix, op7_fst_token_counts, op8_pfor_token_ids, op9_pii_spans, op10_minhash_containment)}
 
 
 def oracle_sql() -> dict[str, str]:
