@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lm, decontam, fst_tokens, mixing, pfor, pii, rule_cascade, sharding, simhash_gph
+from . import bloom_lm, decontam, fst_tokens, mixing, pfor, pii, quality_knn, rule_cascade, sharding, simhash_gph
 from .storage import scratch_path
 
 
@@ -30,6 +30,10 @@ def op1_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("place").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"))
 
 
+def op2_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_knn.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_gph_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_gph.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -66,7 +70,7 @@ def op10_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_slot_sharding, op3_gph_simhash, op4_bloom_lm, op5_rule_cascade, op6_systematic_mix, op7_fst_token_counts, op8_pfor_token_ids, op9_pii_spans, op10_minhash_containment)}
+    return {f.__name__: f for f in (op1_slot_sharding, op2_knn_quality, op3_gph_simhash, op4_bloom_lm, op5_rule_cascade, op6_systematic_mix, op7_fst_token_counts, op8_pfor_token_ids, op9_pii_spans, op10_minhash_containment)}
 
 
 def oracle_sql() -> dict[str, str]:
