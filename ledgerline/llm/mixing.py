@@ -14,7 +14,7 @@ unless all is large.
 The prefix sum is hierarchical, so a source with a third of all rows is no
 single task: rows are counted by (source, size, salt), those counts (one row
 a group) are summed in order, and rows are numbered inside a group.  A group
-gets one salt for each ``GROUP_ROWS`` rows.  No text passes a shuffle.
+gets one salt for each ``GROUP_ROWS`` rows, up to ``MOST_SALTS``.  No text passes a shuffle.
 
 Defined results: null or empty texts have size 0 and add nothing; null
 sources form one source of their own, ordered last; a source of size 0 has
@@ -34,9 +34,11 @@ from .text import word_count
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST_COPIES = 2.0
-GROUP_ROWS = 20_000
+#: Rows of one salt, and most salts of one (source, size).
+GROUP_ROWS, MOST_SALTS = 1000, 10_000
 #: Documents above this share of their source's target are sampled first.
 LARGE = 0.01
+BROADCAST_ROWS = 1_000_000
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES) -> DataFrame:
@@ -72,13 +74,14 @@ def boundaries(position: Column, rows: Column, expected: Column, offset: Column)
 
 
 def mix(docs: DataFrame, seed: int = 17, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies of every row of ``docs``; reruns agree."""
+    """doc_id, source, size, crc (of the text), source_size, target, copies of every row of ``docs``; reruns agree."""
     text = F.col(text_col)
     rows = written(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             word_count(text).alias("size"),
+            F.crc32(text).alias("crc"),
             F.xxhash64(F.lit(seed), F.col(id_col), F.crc32(text)).alias("h"),
         ),
         "mix",
@@ -87,10 +90,10 @@ def mix(docs: DataFrame, seed: int = 17, weights: Sequence[float] = WEIGHTS, sha
     totals = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     targets = source_targets(totals, weights, share, most).withColumnRenamed("source", "t_")
     spread = sized.join(targets, F.col("source").eqNullSafe(F.col("t_"))).select(
-        F.col("source").alias("s_"), F.col("size").alias("z_"), F.ceil(F.col("n") / F.lit(GROUP_ROWS)).alias("salts"), "source_size", "target", (F.col("size") > F.lit(LARGE) * F.col("target")).alias("large")
+        F.col("source").alias("s_"), F.col("size").alias("z_"), F.least(F.ceil(F.col("n") / F.lit(GROUP_ROWS)), F.lit(MOST_SALTS)).alias("salts"), "source_size", "target", (F.col("size") > F.lit(LARGE) * F.col("target")).alias("large")
     )
     salted = rows.join(spread, F.col("source").eqNullSafe(F.col("s_")) & (F.col("size") == F.col("z_")))
-    salted = salted.withColumn("salt", F.pmod("h", "salts")).select("doc_id", "source", "size", "h", "salt", "source_size", "target", "large")
+    salted = salted.withColumn("salt", F.pmod("h", "salts")).select("doc_id", "source", "size", "crc", "h", "salt", "source_size", "target", "large")
 
     group = salted.groupBy("source", "size", "salt").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("source_size", "target", "large")])
     own, stratum = Window.partitionBy("source"), Window.partitionBy("source", "large")
@@ -109,4 +112,25 @@ def mix(docs: DataFrame, seed: int = 17, weights: Sequence[float] = WEIGHTS, sha
         group, F.col("source").eqNullSafe(F.col("g_source")) & (F.col("size") == F.col("g_size")) & (F.col("salt") == F.col("g_salt"))
     )
     copies = boundaries(F.col("base") + F.col("k"), F.lit(1), F.col("expected"), F.col("u"))
-    return numbered.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+    return numbered.select("doc_id", "source", "size", "crc", "source_size", "target", copies.alias("copies"))
+
+
+def mixed_rows(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Rows of ``docs``, all columns, as often as the mix takes them.
+
+    Rows that are alike in id, source, size and text hash share their copies:
+    the k-th of them gets the k-th number.
+    """
+    text = F.col(text_col)
+    taken = mix(docs, seed, id_col=id_col, text_col=text_col, source_col=source_col)
+    key = [F.col(id_col).eqNullSafe(F.col("__id")), F.col(source_col).eqNullSafe(F.col("__source")), F.col("__crc").eqNullSafe(F.col("__c"))]
+    totals = taken.groupBy("doc_id", "source", "crc").agg(F.sum("copies").alias("all"), F.count("*").alias("rows"))
+    totals = written(totals.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("crc").alias("__c"), "all", "rows"), "copies")
+    keyed = docs.withColumn("__crc", F.crc32(text))
+    joined = keyed.join(F.broadcast(totals) if totals.count() <= BROADCAST_ROWS else totals, key[0] & key[1] & key[2])
+    if totals.where("rows > 1").isEmpty():
+        copies = F.col("all")
+    else:
+        joined = joined.withColumn("__k", F.row_number().over(Window.partitionBy(id_col, source_col, "__crc").orderBy(F.lit(0))))
+        copies = (F.floor(F.col("__k") * F.col("all") / F.col("rows")) - F.floor((F.col("__k") - 1) * F.col("all") / F.col("rows"))).cast("long")
+    return joined.withColumn("__n", copies).where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
