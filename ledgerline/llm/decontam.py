@@ -180,3 +180,20 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, conta
 
     item_type = to_arrow_type(kinds[1])
     return reduce(DataFrame.unionByName, map(with_block, item_blocks(own)))
+
+
+def without_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, contained: float = CONTAINED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs``, all columns, whose text holds no item; the decision is made where the row is."""
+    out = docs
+    columns = [c for c in docs.columns if c != text_col] + [text_col]
+    own = items.select("item_id", F.col("text").cast("string").alias("text"))
+    for block in item_blocks(own):
+        search = docs.sparkSession.sparkContext.broadcast(Search(block, width, contained))
+
+        def run(batches: Iterable[pa.RecordBatch], search=search) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                held = {k for k, _, _ in search.value.pairs(t.as_py() for t in batch.column(batch.num_columns - 1))}
+                yield batch.filter(pa.array([k not in held for k in range(batch.num_rows)], pa.bool_()))
+
+        out = out.select(*columns).mapInArrow(run, out.select(*columns).schema)
+    return out.select(*docs.columns)

@@ -118,8 +118,11 @@ def ball(width: int, radius: int) -> int:
     return sum(comb(width, r) for r in range(radius + 1))
 
 
-def allocate(bits: np.ndarray, parts: list[list[int]], n: int, distance: int) -> list[int]:
-    """Thresholds by dynamic programming: least (probes + candidates), sum of t_i + 1 being distance + 1."""
+def allocate(bits: np.ndarray, parts: list[list[int]], n: int, distance: int, row_cost: float = 30.0) -> tuple[float, list[int]]:
+    """Cost and thresholds by dynamic programming: least (probes + candidates), sum of t_i + 1 being distance + 1.
+
+    ``row_cost`` is what an index or probe row costs, in verified candidates.
+    """
     costs = []
     pairs = max(1, len(bits) * (len(bits) - 1))
     for group in parts:
@@ -129,7 +132,7 @@ def allocate(bits: np.ndarray, parts: list[list[int]], n: int, distance: int) ->
         cost = [0.0]
         for t in range(distance + 1):
             seen = (np.count_nonzero(apart <= t) - len(bits)) / pairs
-            cost.append(8.0 * n * ball(len(group), t) + float(n) * n * max(seen, ball(len(group), t) / 2.0 ** len(group)))
+            cost.append(row_cost * n * ball(len(group), t) + float(n) * n * max(seen, ball(len(group), t) / 2.0 ** len(group)))
         costs.append(cost)
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for cost in costs:
@@ -138,7 +141,7 @@ def allocate(bits: np.ndarray, parts: list[list[int]], n: int, distance: int) ->
             for total in range(distance + 2)
             if any(total - s in best for s in range(len(cost)))
         }
-    return best[distance + 1][1]
+    return best[distance + 1]
 
 
 def signed(x: int) -> int:
@@ -187,7 +190,7 @@ def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     sample = bit_matrix([r.fp for r in nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()])
     m = min(3, max(2, round(64 / (log2(max(n, 2)) + 2))))
     parts = correlated_partitions(sample, m) if len(sample) else [list(range(32)), list(range(32, 64))]
-    thresholds = allocate(sample, parts, n, distance) if len(sample) else [0, distance - 1]
+    thresholds = allocate(sample, parts, n, distance)[1] if len(sample) else [0, distance - 1]
     rows = probes(nodes, parts, thresholds)
     keys = rows.groupBy("part", "key").agg(F.count("*").alias("n"), F.count_if("own").alias("n_own")).where("n_own > 0 and n > 1").select("part", "key", "n")
     met = written(rows.join(keys, ["part", "key"]), "probes")
