@@ -36,7 +36,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -48,6 +47,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .fst_tokens import PART, cut, word_starts
 from .storage import scratch_path, written
 
 BLOCK = 1024
@@ -57,7 +57,9 @@ MAGIC = b"LPFR"
 FOOTER = struct.Struct("<QQQQQ4s")
 HEAD = struct.Struct("<IBBH")
 GROUP = 256
-CACHE_WORDS = 250_000
+#: Places of the table of words and ids of each, and characters encoded together.
+SLOTS, MOST_IDS = 1 << 20, 12
+RUN_CHARACTERS = 1 << 21
 
 
 def _pack(d: np.ndarray, width: int) -> np.ndarray:
@@ -208,71 +210,152 @@ class Reader:
             k = upto
 
 
-class Encoder:
-    """The library's ids of whole texts, through a cache by word.
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** k modulo 2 ** 64."""
+    steps = np.full(n, base, np.uint64)
+    steps[:1] = 1
+    return np.multiply.accumulate(steps)
 
-    A space that another character follows always starts a word of the
-    byte-level pre-tokenizer, whatever stands before.  So a text may be parted
-    there and the library asked for each distinct part once.  Texts in which
-    white space follows a space, that end with one, or that hold an added
-    token go to the library whole.
-    """
 
-    UNSAFE = re.compile(r" (?:\s|$)")
+class Encoder:
+    """The library's ids of whole texts, asked for once for each distinct word.
+
+    The byte-level pre-tokenizer's words, found by its transducer (see
+    ``fst_tokens``), are encoded each on its own by the library, so equal
+    words may share one answer.  Words of a run are told apart by 128 bits of
+    hashes of their bytes: sums of random numbers by byte times powers by
+    place, two of them, from prefix sums.  Answers stay in a table of
+    ``SLOTS`` places in which a later word replaces an earlier one; should two
+    words of a run share the first 64 bits, the library gets the texts whole.
+    """
 
     def __init__(self, spec: str) -> None:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_str(spec)
-        self.spaced = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
-        self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
+        pre = json.loads(spec)["pre_tokenizer"]
+        self.by_word = pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat = np.empty(1 << 16, np.uint32)
-        self.used = 0
-        self.offset = np.zeros(1 << 16, np.int64)
-
-    def learn(self, words: list[str]) -> None:
-        """Ask the library once for all ``words``, parted by spaces; a part's first id is the only one that starts with one."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
-        starts = np.flatnonzero(self.spaced[ids])
-        if len(starts) != len(words):
-            raise ValueError("a space does not start a word here")
-        n, end = len(self.place), self.used + len(ids)
-        while end > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while n + len(words) + 1 > len(self.offset):
-            self.offset = np.concatenate([self.offset, np.zeros_like(self.offset)])
-        self.flat[self.used : end] = ids
-        self.offset[n : n + len(words)] = self.used + starts
-        self.offset[n + len(words)] = self.used = end
-        self.place.update(zip(words, range(n, n + len(words)), strict=True))
+        rng = np.random.default_rng(5)
+        self.random = rng.integers(0, 1 << 64, (2, 256), np.uint64)
+        self.bases = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+        self.power: list[np.ndarray] = []
+        self.key, self.check = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64)
+        self.size = np.zeros(SLOTS, np.uint8)
+        self.ids = np.zeros((SLOTS, MOST_IDS), np.uint32)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def encode(self, text: str) -> np.ndarray:
-        if self.UNSAFE.search(text) or any(a in text for a in self.added):
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        head = self.whole(first)
-        if not rest:
-            return head
-        if len(self.place) > CACHE_WORDS:
-            self.clear()
-        place = self.place
-        new = [w for w in dict.fromkeys(rest) if w not in place]
-        if new:
-            self.learn(new)
-        k = np.array([place[w] for w in rest], np.int64)
-        begin, n = self.offset[k], self.offset[k + 1] - self.offset[k]
-        at = np.cumsum(n) - n
-        out = self.flat[np.repeat(begin - at, n) + np.arange(int(n.sum()))]
-        return np.concatenate([head, out])
+    def ask(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of ``words`` by the library, and the size of each.
+
+        Those that start with a space and go on with another character are
+        joined: of such a word's ids the first alone starts with a space.
+        """
+        joins = np.array([w[0] == " " and len(w) > 1 and not w[1].isspace() for w in words])
+        sizes, found = np.zeros(len(words), np.int64), []
+        where = [np.flatnonzero(joins), np.flatnonzero(~joins)]
+        if len(where[0]):
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join([words[k] for k in where[0]])], add_special_tokens=False)[0].ids, np.uint32)
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) != len(where[0]):
+                raise ValueError("a space does not start a word here")
+            sizes[where[0]] = np.diff(np.append(starts, len(ids)))
+            found.append(ids)
+        if len(where[1]):
+            each = [e.ids for e in self.tokenizer.encode_batch_fast([words[k] for k in where[1]], add_special_tokens=False)]
+            sizes[where[1]] = [len(e) for e in each]
+            found.append(np.array([i for e in each for i in e], np.uint32))
+        # both kinds in the order of words
+        order = np.concatenate(where)
+        n = sizes[order]
+        ids, starts = np.concatenate(found), np.empty(len(words), np.int64)
+        starts[order] = np.cumsum(n) - n
+        return gathered(ids, starts, sizes), sizes
+
+    def hashes(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+        """Two 64-bit hashes of each span of ``data``."""
+        if not self.power or len(self.power[0]) < len(data) + 1:
+            n = 1 << (len(data) + 1).bit_length()
+            self.power = [_powers(x, n) for b in self.bases for x in (b, pow(b, -1, 1 << 64))]
+        out = []
+        for k in range(2):
+            up, down = self.power[2 * k], self.power[2 * k + 1]
+            total = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(self.random[k][data] * up[: len(data)], out=total[1:])
+            out.append((total[end] - total[begin]) * down[begin])
+        return out
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; long ones pass in pieces that end where a word does in any case."""
+        if not self.by_word or any(len(t) > RUN_CHARACTERS for t in texts):
+            long = [[self._encode([p])[0] for p in cut(t, RUN_CHARACTERS)] if self.by_word and not self.special(t) else [self.whole(t)] for t in texts]
+            return [np.concatenate(x) for x in long]
+        return self._encode(texts)
+
+    def special(self, text: str) -> bool:
+        return any(a in text for a in self.added)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
+        own = []
+        for k, text in enumerate(texts):
+            if self.special(text):
+                out[k] = self.whole(text)
+            elif text:
+                own.append(k)
+        if not own:
+            return out
+        joined = PART.join([texts[k] for k in own]) + PART
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        raw = joined.encode("utf-8", "surrogatepass")
+        data = np.frombuffer(raw, np.uint8)
+        at = np.flatnonzero((data & 0xC0) != 0x80)
+        first = np.flatnonzero(word_starts(codes))
+        begin, end = at[first], np.append(at[first[1:]], len(data))
+        part = codes[first] == ord(PART)
+        h, check = self.hashes(data, begin, end)
+        _, one, back = np.unique(h, return_index=True, return_inverse=True)
+        if not np.array_equal(check[one][back], check):
+            for k in own:
+                out[k] = self.whole(texts[k])
+            return out
+        slot = (h[one] >> np.uint64(20)).astype(np.int64) & (SLOTS - 1)
+        known = (self.key[slot] == h[one]) & (self.check[slot] == check[one]) & (self.size[slot] > 0)
+        new = np.flatnonzero(~known & ~part[one])
+        sizes = np.where(known, self.size[slot], 0).astype(np.int64)
+        table, starts = self.ids[slot].ravel(), np.arange(len(one)) * MOST_IDS
+        if len(new):
+            words = [raw[a:b].decode() for a, b in zip(begin[one[new]].tolist(), end[one[new]].tolist(), strict=True)]
+            ids, n = self.ask(words)
+            sizes[new], starts[new] = n, len(table) + np.cumsum(n) - n
+            fits = np.flatnonzero(n <= MOST_IDS)
+            to = slot[new[fits]]
+            last = np.unique(to[::-1], return_index=True)[1]  # of several for one slot, one
+            keep = fits[len(fits) - 1 - last]
+            to = slot[new[keep]]
+            self.key[to], self.check[to], self.size[to] = h[one[new[keep]]], check[one[new[keep]]], n[keep]
+            padded = np.concatenate([ids, np.zeros(MOST_IDS, np.uint32)])
+            self.ids[to] = padded[(np.cumsum(n) - n)[keep][:, None] + np.arange(MOST_IDS)]
+            table = np.concatenate([table, ids])
+        sizes[part[one]] = 0
+        n = sizes[back]
+        ids = gathered(table, starts[back], n)
+        upto = np.append(0, np.cumsum(n)[part])
+        for k, a, b in zip(own, upto[:-1].tolist(), upto[1:].tolist(), strict=True):
+            out[k] = ids[a:b]
+        return out
+
+
+def gathered(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs ``ids[start : start + size]``, one after the other."""
+    at = np.cumsum(sizes) - sizes
+    return ids[np.repeat(starts - at, sizes) + np.arange(int(sizes.sum()))]
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -291,6 +374,20 @@ def open_file(uri: str) -> Reader:
     return Reader(fs.open_input_file(path))
 
 
+def runs(names: pa.Array, texts: pa.Array, size: int = RUN_CHARACTERS) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts in runs of about ``size`` characters."""
+    held: tuple[list, list[str]] = [], []
+    n = 0
+    for name, text in zip(names, texts, strict=True):
+        held[0].append(name.as_py())
+        held[1].append(text.as_py() or "")
+        n += len(held[1][-1])
+        if n >= size:
+            yield held
+            held, n = ([], []), 0
+    yield held
+
+
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every row and write the files; file (its number, in id order), path, n_docs and n_ids of each."""
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -308,8 +405,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
                 out = fs.open_output_stream(own)
                 writer = Writer(out)
             encoder = _encoder(spec.value)
-            for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                writer.add(doc_id.as_py(), np.append(encoder.encode(text.as_py() or ""), np.uint32(end_id)))
+            for names, texts in runs(batch.column("doc_id"), batch.column("text")):
+                for doc_id, ids in zip(names, encoder.encode(texts), strict=True):
+                    writer.add(doc_id, np.append(ids, np.uint32(end_id)))
         if writer is not None:
             n_ids = writer.close()
             out.close()
