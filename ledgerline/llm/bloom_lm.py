@@ -55,7 +55,7 @@ N_HASHES = 3
 MOST_FILTER_BYTES = 48 << 20
 TABLE_WORDS = 6_000_000
 #: Documents' bytes for each segment of the exchange.
-SEGMENT_BYTES = 2 << 20
+SEGMENT_BYTES = 8 << 20
 MERGE_WORDS = 1 << 19
 #: Hashes of the end token, of the start of a text, and what tells a pair from a word.
 END = np.uint64(0x9AE16A3B2F90404F)
@@ -220,7 +220,7 @@ class Model:
 def train(docs: DataFrame) -> Model:
     """Fit on ``docs(text)``."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_segments = int(min(4096, max(16, size // SEGMENT_BYTES)))
+    n_segments = int(min(MOST_FILTER_BYTES // 8, max(16, size // SEGMENT_BYTES)))  # a segment has a word of bits at least
     raw = count_ngrams(docs, n_segments)
     merged = written(raw.groupBy("segment").applyInArrow(_merge_segment, SEGMENT_SCHEMA), "ngrams")
     n = merged.agg(*[F.sum(c).alias(c) for c in ("tokens", "n_words", "n_pairs", "entries")]).first()
