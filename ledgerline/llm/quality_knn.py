@@ -93,13 +93,32 @@ def term_matrix(rows: list[np.ndarray]) -> np.ndarray:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
-    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 1e-12)
+    """Rows of length 1, in place; rows of zeros stay."""
+    norm = np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    return np.divide(x, norm, out=x, where=norm > 1e-12)
+
+
+@dataclass
+class SparseTerms:
+    """Term counts of rows: a row's terms are terms[bounds[k] : bounds[k + 1]], each once, with their times."""
+
+    bounds: np.ndarray
+    terms: np.ndarray
+    times: np.ndarray
+
+    def blocks(self, weights: np.ndarray, rows: int = 512) -> Iterator[np.ndarray]:
+        """Dense unit rows of weighted square roots of shares, ``rows`` at a time."""
+        for a in range(0, len(self.bounds) - 1, rows):
+            bounds = self.bounds[a : a + rows + 1]
+            x = np.zeros((len(bounds) - 1, TERMS), np.float32)
+            x[np.repeat(np.arange(len(x)), np.diff(bounds)), self.terms[bounds[0] : bounds[-1]]] = self.times[bounds[0] : bounds[-1]]
+            x /= np.maximum(x.sum(axis=1, keepdims=True), 1)
+            yield unit(np.sqrt(x, out=x) * weights)
 
 
 @dataclass
 class Voters:
-    """The labelled vectors and what turns a text into one."""
+    """The labelled vectors, and what turns a text into a vector."""
 
     weights: np.ndarray  # inverse document frequency of each term
     projection: np.ndarray  # (TERMS, dimensions)
@@ -108,22 +127,22 @@ class Voters:
     prior: float
 
     @classmethod
-    def fit(cls, rows: list[np.ndarray], labels: np.ndarray, dimensions: int = DIMENSIONS) -> Voters:
-        if not len(rows):
+    def fit(cls, x: SparseTerms, labels: np.ndarray, dimensions: int = DIMENSIONS) -> Voters:
+        """From the labelled rows' term shares.  Rows become dense in blocks, so the fit holds their terms and little else."""
+        n = len(labels)
+        if not n:
             return cls(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.float32), 0.5)
-        x = term_matrix(rows)
-        weights = (np.log((1 + len(rows)) / (1 + np.count_nonzero(x, axis=0))) + 1).astype(np.float32)
+        weights = (np.log((1 + n) / (1 + np.bincount(x.terms, minlength=TERMS))) + 1).astype(np.float32)
         weights[[REPEAT, DUPLICATE_LINE]] = 4
-        x *= weights
-        x = unit(x)
         rng = np.random.default_rng(11)
-        k = min(dimensions + 16, len(rows), TERMS)
+        k = min(dimensions + 16, n, TERMS)
         q = rng.standard_normal((TERMS, k), np.float32)
         for _ in range(3):  # subspace iteration for the leading right singular vectors
-            q, _ = np.linalg.qr(x.T @ (x @ q))
-        _, _, v = np.linalg.svd(x @ q, full_matrices=False)
+            q, _ = np.linalg.qr(sum(own.T @ (own @ q) for own in x.blocks(weights)))
+        _, _, v = np.linalg.svd(np.concatenate([own @ q for own in x.blocks(weights)]), full_matrices=False)
         projection = np.ascontiguousarray((q @ v.T)[:, : min(dimensions, k)], np.float32)
-        return cls(weights, projection, unit(x @ projection), np.asarray(labels, np.float32), float(np.mean(labels)))
+        vectors = unit(np.concatenate([own @ projection for own in x.blocks(weights)]))
+        return cls(weights, projection, vectors, np.asarray(labels, np.float32), float(np.mean(labels)))
 
     def vectors_of(self, rows: list[np.ndarray]) -> np.ndarray:
         return unit((term_matrix(rows) * self.weights) @ self.projection)
@@ -174,8 +193,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out_fol
 
     rows = labelled_rows(docs, labels, label, held_out_fold, most, id_col, text_col)
     got = rows.mapInArrow(run, "doc string, label double, terms array<int>, times array<int>").toArrow()
-    found = sorted(zip(*(got.column(c).to_pylist() for c in ("doc", "label", "terms", "times")), strict=True))[: 2 * most]
-    return Voters.fit([np.repeat(np.array(t, np.int64), n) for _, _, t, n in found], np.array([y for _, y, _, _ in found]))
+    got = got.sort_by([("doc", "ascending"), ("label", "ascending")]).slice(0, 2 * most).combine_chunks()
+    terms, times = (got.column(c).combine_chunks() for c in ("terms", "times"))
+    rows = SparseTerms(terms.offsets.to_numpy(), terms.flatten().to_numpy(), times.flatten().to_numpy())
+    return Voters.fit(rows, got.column("label").to_numpy())
 
 
 def score(docs: DataFrame, voters: Voters, id_col: str = "doc_id", text_col: str = "text", keep: Iterable[str] | None = None) -> DataFrame:
