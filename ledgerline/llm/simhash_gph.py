@@ -124,6 +124,7 @@ def allocate(bits: np.ndarray, parts: list[list[int]], n: int, distance: int, ro
     ``row_cost`` is what an index or probe row costs, in verified candidates.
     """
     costs = []
+    n = max(n, 1)
     pairs = max(1, len(bits) * (len(bits) - 1))
     for group in parts:
         own = bits[:, group].astype(np.float32)
@@ -159,8 +160,8 @@ def probes(nodes: DataFrame, parts: list[list[int]], thresholds: list[int]) -> D
     for k, (group, t) in enumerate(zip(parts, thresholds, strict=True)):
         if t >= 0:
             flips = masks(group, t)
-            flip = F.explode(F.array(*map(F.lit, flips))) if len(flips) > 1 else F.lit(flips[0])
-            at = nodes.select("fp", flip.cast("long").alias("flip"))
+            longs = [F.lit(x).cast("long") for x in flips]
+            at = nodes.select("fp", (F.explode(F.array(*longs)) if len(longs) > 1 else longs[0]).alias("flip"))
             bits = F.lit(signed(sum(1 << b for b in group)))
             key = F.col("fp").bitwiseAND(bits).bitwiseXOR(F.col("flip"))
             rows.append(at.select(F.lit(k).alias("part"), key.alias("key"), "fp", (F.col("flip") == 0).alias("own")))
