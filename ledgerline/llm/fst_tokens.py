@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 BATCH = 1 << 20
 CHUNK = 256
 MOST_CELLS = 24 << 20
-SMALL_SUBTREE = 48
+SMALL_SUBTREE = 12
 #: No string that Arrow carries holds a lone surrogate, so it can part texts.
 PART = "\ud800"
 
