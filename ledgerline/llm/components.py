@@ -2,8 +2,8 @@
 
 Each half-round is a partial aggregation for the least neighbour and an equi
 join to hand it on (which adaptive execution may split where a node has very
-many edges); edges are written to the shared folder after each round.  The
-number of rounds is logarithmic in the largest component, and no edge or
+many edges); edges are written to the shared folder after each round, and
+those of the round before are deleted.  The number of rounds is logarithmic in the largest component, and no edge or
 label reaches the driver.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import drop_path, written_at
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
@@ -23,14 +23,16 @@ def _with_least(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of ``edges(u, v)`` (any orientation); root is the component's least node."""
-    edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    edges, path = written_at(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = _with_least(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        edges = written(small.where("u <> v").distinct(), "edges")
+        replaced = path
+        edges, path = written_at(small.where("u <> v").distinct(), "edges")
+        drop_path(edges.sparkSession, replaced)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break

@@ -28,10 +28,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     The result has no lineage but those files, so a lost executor costs no
     recomputation of what came before.
     """
+    return written_at(df, label)[0]
+
+
+def written_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """As ``written``, and the path, for tables that a later one replaces."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
