@@ -602,24 +602,79 @@ def seconds_format(spark, d):
     return fx.table(spark, d, "events").select("event_id", seconds_text(F.col("event_id") * 123456789).alias("seconds"))
 
 
-@query()
-def seg_roundtrip(spark, d):
-    """O-04 to O-07, O-09, O-20: the log written as segments and read back through the data source."""
+# -- segments and streams, through the shared folder
+
+
+def _shared(spark, label: str) -> str:
+    """A new folder where driver and executors both reach it."""
     import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='ledgerline-')}"
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
+
+def _written_log(spark, d) -> str:
+    """The canonical log written as segments; its path."""
     from ..sources import seglog
 
     seglog.register(spark)
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='seglog-')}"
-    import uuid
-
-    path = f"{shared.rstrip('/')}/seglog-{uuid.uuid4().hex}"
+    path = _shared(spark, "seglog")
     rows = _readable(spark, d).select(F.lit(0).cast("long").alias("crc"), "len", "term", "seq", "session", "client_seq", "record_type", "flags", "partition_key", F.encode("payload", "UTF-8").alias("payload"))
     rows.repartitionByRange("seq").sortWithinPartitions("seq").write.format("seglog").option("capacity", 1 << 16).mode("append").save(path)
-    return seglog.open_log(spark, path).select("seq", "session", "client_seq", "partition_key", "flags", "len", "rec_size", F.decode("payload", "UTF-8").alias("payload"))
+    return path
+
+
+def _drained(stream: DataFrame) -> DataFrame:
+    """What a stream gives until its source is at its end, by a checkpointed file sink."""
+    spark = stream.sparkSession
+    out = _shared(spark, "stream")
+    q = stream.writeStream.format("parquet").option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start(out)
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
 
+@query(f"WITH {LOG} SELECT seq, session, client_seq, partition_key, flags, len, rec_size, props AS payload FROM log")
+def seg_roundtrip(spark, d):
+    """O-04 to O-07, O-09, O-20: the log written as segments and read back through the data source."""
+    from ..sources import seglog
+
+    log_read = seglog.open_log(spark, _written_log(spark, d))
+    return log_read.select("seq", "session", "client_seq", "partition_key", "flags", "len", "rec_size", F.decode("payload", "UTF-8").alias("payload"))
+
+
+@query(SQL["subscribe_from"].replace("greatest(300, min(seq))", "300").replace("FROM log WHERE partition_key = 1) SELECT", ") SELECT"))
+def subscribe_stream(spark, d):
+    """O-50, O-52: a stream from seq 300 over one key, run to the durable end."""
+    from ..streaming import log_streams
+
+    got = _drained(log_streams.subscribe(spark, _written_log(spark, d), 300, key=1))
+    return got.withColumn("payload", F.decode("payload", "UTF-8"))
+
+
+@query(SQL["admit_dedup"])
+def dedup_stream(spark, d):
+    """O-26, O-56 as a stream with a mark per session as state."""
+    from ..streaming import log_streams
+
+    path = _shared(spark, "requests")
+    rows = fx.requests(spark, d).select("arrival", "session", "client_seq")
+    rows.write.parquet(path)
+    stream = spark.readStream.schema(rows.schema).parquet(path)
+    return _drained(log_streams.dedup_stream(stream))
+
+
+@query(f"WITH {LOG} SELECT seq, session, client_seq FROM log")
+def replica_stream(spark, d):
+    """O-61, O-62: a replica's log after applying the leader's stream."""
+    from ..sources import seglog
+    from ..streaming import log_streams
 
-SQL["seg_roundtrip"] = f"WITH {LOG} SELECT seq, session, client_seq, partition_key, flags, len, rec_size, props AS payload FROM log"
+    leader, replica = _written_log(spark, d), _shared(spark, "replica")
+    stream = spark.readStream.format("seglog").option("fromSeq", 1).load(leader)
+    q = stream.writeStream.foreachBatch(log_streams.apply_batches(replica, 1 << 16)).option("checkpointLocation", f"{replica}-checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return seglog.open_log(spark, replica).select("seq", "session", "client_seq")
 
 
 def queries() -> dict[str, Query]:
