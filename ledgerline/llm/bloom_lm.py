@@ -57,6 +57,10 @@ TABLE_WORDS = 6_000_000
 #: Documents' bytes for each segment of the exchange.
 SEGMENT_BYTES = 8 << 20
 MERGE_WORDS = 1 << 19
+#: Distinct n-grams that a counting task holds before it passes them on.
+HELD_ENTRIES = 3_000_000
+#: Tokens that are scored together.
+SCORED_TOKENS = 1 << 17
 #: Hashes of the end token, of the start of a text, and what tells a pair from a word.
 END = np.uint64(0x9AE16A3B2F90404F)
 START = np.uint64(0xC3A5C85C97CB3127)
@@ -123,18 +127,28 @@ def unpack(blobs: Iterable[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_ngrams(docs: DataFrame, n_segments: int) -> DataFrame:
-    """segment, words, pairs (packed counts) of ``docs(text)``: a row per task and segment."""
+    """segment, words, pairs (packed counts) of ``docs(text)``: a row per task and segment, or more in a large task.
+
+    A task passes on what it holds beyond ``HELD_ENTRIES``, so its memory is bounded.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, words, pairs = WordHashes(), Counter(), Counter()
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            w, p = words.packed(n_segments), pairs.packed(n_segments)
+            for s in sorted(w.keys() | p.keys()):
+                yield pa.RecordBatch.from_pylist([{"segment": s, "words": w.get(s), "pairs": p.get(s)}], pa.schema([("segment", pa.int64()), ("words", pa.binary()), ("pairs", pa.binary())]))
+
         for batch in batches:
             for text in batch.column("text"):
                 t = tokens_of(text.as_py(), hashes)
                 words.add(t)
                 pairs.add(pair_hash(np.append(START, t[:-1]), t))
-        w, p = words.packed(n_segments), pairs.packed(n_segments)
-        for s in sorted(w.keys() | p.keys()):
-            yield pa.RecordBatch.from_pylist([{"segment": s, "words": w.get(s), "pairs": p.get(s)}], pa.schema([("segment", pa.int64()), ("words", pa.binary()), ("pairs", pa.binary())]))
+                if len(words.keys) + len(pairs.keys) > HELD_ENTRIES:
+                    yield from packed()
+                    words, pairs = Counter(), Counter()
+        yield from packed()
 
     return docs.select("text").mapInArrow(run, "segment long, words binary, pairs binary")
 
@@ -308,7 +322,7 @@ def _scores(batch: pa.RecordBatch, fitted: Filter, hashes: WordHashes) -> Iterat
     for k in range(batch.num_rows):
         held.append(tokens_of(texts[k].as_py(), hashes))
         size += len(held[-1])
-        if size > MERGE_WORDS or k == batch.num_rows - 1:
+        if size > SCORED_TOKENS or k == batch.num_rows - 1:
             tokens = np.concatenate(held)
             yield tokens, np.cumsum([0, *map(len, held[:-1])]), fitted.log10_probability(tokens)
             held, size = [], 0

@@ -49,7 +49,7 @@ def words_of(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes of words, kept for those seen; ``of`` forgets them all beyond ``most`` words."""
 
-    def __init__(self, most: int = 1_000_000) -> None:
+    def __init__(self, most: int = 200_000) -> None:
         super().__init__()
         self.most = most
 
