@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import WordHashes, mixed, shingle_hashes, utf8_bytes, words_of
+from .text import WordHashes, mixed, shingle_hashes, tidy, utf8_bytes, words_of
 
 WIDTH = 5
 CONTAINED = 0.8
@@ -174,7 +174,7 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, conta
                 places, item_ids, shares = zip(*found, strict=True) if found else ((), (), ())
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(places, pa.int64())), pa.array(item_ids, item_type), pa.array(shares, pa.float64())], ["doc_id", "item_id", "containment"])
 
-        return rows.mapInArrow(run, f"doc_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, containment double")
+        return rows.mapInArrow(tidy(run), f"doc_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, containment double")
 
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -195,5 +195,5 @@ def without_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, contain
                 held = {k for k, _, _ in search.value.pairs(t.as_py() for t in batch.column(batch.num_columns - 1))}
                 yield batch.filter(pa.array([k not in held for k in range(batch.num_rows)], pa.bool_()))
 
-        out = out.select(*columns).mapInArrow(run, out.select(*columns).schema)
+        out = out.select(*columns).mapInArrow(tidy(run), out.select(*columns).schema)
     return out.select(*docs.columns)

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import fold_of
+from .text import fold_of, tidy
 
 WORD_TERMS, SHAPE_TERMS = 3072, 1020
 TERMS = WORD_TERMS + SHAPE_TERMS + 3
@@ -48,6 +48,8 @@ SHARPNESS = 8
 MOST_LABELLED = 8192
 BLOCK_DOCS, BLOCK_LABELLED = 256, 4096
 THRESHOLD = 0.3
+#: Words whose buckets a worker keeps.
+KEPT_WORDS = 200_000
 
 _SHAPE = ((re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[0-9]+"), b"9"))
 
@@ -63,7 +65,7 @@ class Terms(dict):
     """word -> its two buckets in one integer, kept for the words seen."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > KEPT_WORDS:
             self.clear()
         w = xxhash.xxh32_intdigest(word.lower(), 7) % WORD_TERMS
         s = WORD_TERMS + xxhash.xxh32_intdigest(shape(word), 7) % SHAPE_TERMS
@@ -192,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out_fol
             )
 
     rows = labelled_rows(docs, labels, label, held_out_fold, most, id_col, text_col)
-    got = rows.mapInArrow(run, "doc string, label double, terms array<int>, times array<int>").toArrow()
+    got = rows.mapInArrow(tidy(run), "doc string, label double, terms array<int>, times array<int>").toArrow()
     got = got.sort_by([("doc", "ascending"), ("label", "ascending")]).slice(0, 2 * most).combine_chunks()
     terms, times = (got.column(c).combine_chunks() for c in ("terms", "times"))
     rows = SparseTerms(terms.offsets.to_numpy(), terms.flatten().to_numpy(), times.flatten().to_numpy())
@@ -217,7 +219,7 @@ def score(docs: DataFrame, voters: Voters, id_col: str = "doc_id", text_col: str
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], StructField(name, DoubleType())]))
+    return rows.mapInArrow(tidy(run), StructType([*rows.schema.fields[:-1], StructField(name, DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,7 +7,10 @@ A-Z alone, so the Python operators work on bytes.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -81,3 +84,16 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     for k in range(width):
         out = mixed(out + words[k : k + n] + np.uint64(k + 1))
     return out
+
+
+def tidy(run):
+    """``run`` for an Arrow map; when its batches end, the worker, which lives on, gives freed memory back to the machine."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return wrapped

@@ -134,7 +134,7 @@ def test_similar_groups(spark, monkeypatch, members, block):
     root = {k: k for k in group}
     for a in group:
         for b in group:
-            if a < b and ((fps[a] ^ fps[b]) & ((1 << 64) - 1)).bit_count() <= 8 and jaccard(texts[a], texts[b]) >= 0.8:
+            if a < b and ((fps[a] ^ fps[b]) & ((1 << 64) - 1)).bit_count() <= similar_texts.DISTANCE and jaccard(texts[a], texts[b]) >= 0.8:
                 x, y = root[a], root[b]
                 root = {k: x if v == y else v for k, v in root.items()}
     assert len(set(root.values())) == len(set(group.values()))
