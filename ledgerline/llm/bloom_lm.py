@@ -26,9 +26,12 @@ emits one packed row per segment, so a word in every document is one entry a
 task, and the exchange carries rows of many n-grams.  The reduce side sums
 segments; it returns their filter bits and, in a second column, their words'
 counts.  What is gathered grows with the distinct n-grams of the corpus.
-The filter has ``BITS_PER_ENTRY`` bits for each entry up to
-``MOST_FILTER_BYTES``, the size that workers and driver can hold; beyond that
-entries are still all made and the rate of false hits rises.
+The filter has ``BITS_PER_ENTRY`` bits for each entry, whatever their number.
+Up to ``MOST_FILTER_BYTES``, the size that workers and driver can hold, it is
+gathered and broadcast.  A larger one is never in one place: documents are
+dealt into chunks of ``CHUNK_BYTES``, each chunk's distinct n-grams go to
+their segments, one segment's bits are made and probed at a time, and levels
+(with the words' exact counts) come back to the chunk.
 
 Defined results: a null or empty text is the end token alone; repeated rows
 count and score each; a null id is the empty text to the fold; an empty
@@ -38,6 +41,7 @@ token; only id and text are read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -56,6 +60,8 @@ MOST_FILTER_BYTES = 48 << 20
 TABLE_WORDS = 6_000_000
 #: Documents' bytes for each segment of the exchange.
 SEGMENT_BYTES = 8 << 20
+#: Documents' bytes that are scored together where the filter is too large to broadcast.
+CHUNK_BYTES = 8 << 20
 MERGE_WORDS = 1 << 19
 #: Distinct n-grams that a counting task holds before it passes them on.
 HELD_ENTRIES = 3_000_000
@@ -175,11 +181,18 @@ def segment_bits(keys: np.ndarray, counts: np.ndarray, bits: int) -> bytes:
     return np.packbits(out, bitorder="little").tobytes()
 
 
+def predecessors(tokens: np.ndarray) -> np.ndarray:
+    """The token before each; the start after an end."""
+    u = np.append(START, tokens[:-1])
+    u[1:][tokens[:-1] == END] = START
+    return u
+
+
 @dataclass
 class Filter:
-    """All segments' bits, and the corpus totals that the probabilities need."""
+    """All segments' bits (None where they are too many to gather), and the corpus totals that the probabilities need."""
 
-    data: np.ndarray
+    data: np.ndarray | None
     n_segments: int
     bits: int
     tokens: int
@@ -189,6 +202,10 @@ class Filter:
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """Counts as probed, the geometric middle of their level; 0 if level 1 is missing."""
+        return middle(self.probed(keys))
+
+    def probed(self, keys: np.ndarray) -> np.ndarray:
+        """Levels as probed; 0 if level 1 is missing."""
         level = np.zeros(len(keys), np.int64)
         base = segment_of(keys, self.n_segments) * np.uint64(self.bits)
         live = np.arange(len(keys))
@@ -200,17 +217,17 @@ class Filter:
             live = live[level[live] == 0]
             if not len(live):
                 break
-        level = np.where(level < 0, -level - 1, 63)
-        return middle(level)
+        return np.where(level < 0, -level - 1, 63)
 
     def log10_probability(self, tokens: np.ndarray) -> np.ndarray:
         """log10 P of every token of one text, or of several in a row, after its predecessor."""
-        u = np.append(START, tokens[:-1])
-        u[1:][tokens[:-1] == END] = START
-        own = self.counts(tokens)
-        pair = self.counts(pair_hash(u, tokens))
-        before = np.append(self.ends, own[:-1])
-        before[u == START] = self.ends
+        u = predecessors(tokens)
+        return self.estimates(u, self.counts(tokens), self.counts(pair_hash(u, tokens)), self.ends)
+
+    def estimates(self, u: np.ndarray, own: np.ndarray, pair: np.ndarray, ends: float) -> np.ndarray:
+        """log10 P from the counts of tokens, of their pairs with ``u``, and of ends."""
+        before = np.append(ends, own[:-1])
+        before[u == START] = ends
         k = np.maximum(before, 1.0) ** self.exponent
         word = (own + 0.5) / (self.tokens + 0.5 * (self.words + 1))
         return np.log10((np.minimum(pair, np.maximum(before, pair.clip(max=1))) + k * word) / (before + k))
@@ -228,7 +245,7 @@ class Model:
     """What training leaves: the filter, and the exact table of words by segment."""
 
     filter: Filter
-    table: DataFrame  # segment, words (packed)
+    table: DataFrame  # segment, words, pairs (packed)
 
 
 def train(docs: DataFrame) -> Model:
@@ -238,7 +255,7 @@ def train(docs: DataFrame) -> Model:
     raw = count_ngrams(docs, n_segments)
     merged = written(raw.groupBy("segment").applyInArrow(_merge_segment, SEGMENT_SCHEMA), "ngrams")
     n = merged.agg(*[F.sum(c).alias(c) for c in ("tokens", "n_words", "n_pairs", "entries")]).first()
-    total = min(MOST_FILTER_BYTES * 8, max(1 << 16, BITS_PER_ENTRY * (n.entries or 0)))
+    total = max(1 << 16, BITS_PER_ENTRY * (n.entries or 0))
     bits = -(-int(total) // (n_segments * 8)) * 8
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,14 +264,16 @@ def train(docs: DataFrame) -> Model:
                 made = segment_bits(*unpack([r["words"], r["pairs"]]), bits)
                 yield pa.RecordBatch.from_pydict({"segment": [r["segment"]], "bits": [made]}, pa.schema([("segment", pa.int64()), ("bits", pa.binary())]))
 
-    data = np.zeros(n_segments * bits // 8, np.uint8)
-    made = merged.select("segment", "words", "pairs").mapInArrow(build, "segment long, bits binary")
-    for r in made.toLocalIterator():  # MOST_FILTER_BYTES at most
-        at = r.segment * bits // 8
-        data[at : at + bits // 8] = np.frombuffer(r.bits, np.uint8)
+    data = None
+    if total <= MOST_FILTER_BYTES * 8:
+        data = np.zeros(n_segments * bits // 8, np.uint8)
+        made = merged.select("segment", "words", "pairs").mapInArrow(build, "segment long, bits binary")
+        for r in made.toLocalIterator():  # MOST_FILTER_BYTES, and a word a segment, at most
+            at = r.segment * bits // 8
+            data[at : at + bits // 8] = np.frombuffer(r.bits, np.uint8)
     by_level = merged.select(F.posexplode("by_level").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect()
     exponent = successor_exponent({r.k: r.n for r in by_level}, n.n_pairs or 0)
-    return Model(Filter(data, n_segments, bits, n.tokens or 0, n.n_words or 0, n.n_pairs or 0, exponent), merged.select("segment", "words"))
+    return Model(Filter(data, n_segments, bits, n.tokens or 0, n.n_words or 0, n.n_pairs or 0, exponent), merged.select("segment", "words", "pairs"))
 
 
 def middle(level):
@@ -295,7 +314,7 @@ def _merge_segment(rows: pa.Table) -> pa.Table:
 
 def word_table(model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, ascending, and counts of all words; only for a table of checked size."""
-    parts = [unpack([r.words]) for r in model.table.toLocalIterator()]
+    parts = [unpack([r.words]) for r in model.table.select("words").toLocalIterator()]
     keys, counts = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0, t) for k, t in ((0, np.uint64), (1, np.int64)))
     order = np.argsort(keys)
     counts = counts[order]
@@ -309,6 +328,8 @@ def base_term(counts: np.ndarray, tokens: int, words: int) -> np.ndarray:
 def score(docs: DataFrame, model: Model, table_words: int = TABLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score of every row of ``docs``."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if model.filter.data is None:
+        return _score_by_segment(rows, model)
     if model.filter.words <= table_words:
         return _score_with_table(rows, model)
     return _score_by_join(rows, model)
@@ -388,6 +409,93 @@ def _score_by_join(rows: DataFrame, model: Model) -> DataFrame:
     return docs.join(sums, "row").select("doc_id", "n_tokens", "n_known", "base_score", "score")
 
 
+def _dealt(keys: np.ndarray, n_segments: int) -> tuple[np.ndarray, dict[int, bytes]]:
+    """The order of ``keys`` (ascending) by segment, and segment -> its keys, packed."""
+    segments = segment_of(keys, n_segments)
+    order = np.argsort(segments, kind="stable")
+    own, first = np.unique(segments[order], return_index=True)
+    return order, {s: k.tobytes() for s, k in zip(own.tolist(), np.split(keys[order], first[1:]), strict=True)}
+
+
+def _chunk_ngrams(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, first token of each text, predecessors, pairs) of a chunk."""
+    hashes = WordHashes()
+    held = [tokens_of(t.as_py(), hashes) for t in texts]
+    tokens = np.concatenate(held)
+    u = predecessors(tokens)
+    return tokens, np.cumsum([0, *map(len, held[:-1])]), u, pair_hash(u, tokens)
+
+
+def _score_by_segment(rows: DataFrame, model: Model) -> DataFrame:
+    """As above for a filter of any size: n-grams go to their segments, levels and exact counts of words come back."""
+    kind = dict(rows.dtypes)["doc_id"]
+    f = model.filter
+    n_segments, bits = f.n_segments, f.bits
+
+    def chunked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, k, size = uuid.uuid4().hex, 0, 0
+        for batch in batches:
+            names = []
+            for text in batch.column("text"):
+                names.append(f"{own}:{k}")
+                size += text.as_buffer().size if text.is_valid else 0
+                if size >= CHUNK_BYTES:
+                    k, size = k + 1, 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string())], ["doc_id", "text", "chunk"])
+
+    def ask(docs: pa.Table) -> pa.Table:
+        tokens, _, _, pairs = _chunk_ngrams(docs.column("text"))
+        words, pairs = (_dealt(np.unique(x), n_segments)[1] for x in (tokens, pairs))
+        at = sorted(words.keys() | pairs.keys())
+        return pa.table({"segment": pa.array(at, pa.int64()), "chunk": pa.array([docs.column("chunk")[0].as_py()] * len(at), pa.string()), "words": pa.array([words.get(s) for s in at], pa.binary()), "pairs": pa.array([pairs.get(s) for s in at], pa.binary())})
+
+    def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words, pairs, segment in zip(batch.column("words"), batch.column("pairs"), batch.column("segment"), strict=True):
+                made = segment_bits(*unpack([words.as_py(), pairs.as_py()]), bits)
+                yield pa.RecordBatch.from_pydict({"segment": [segment.as_py()], "words": [words.as_py()], "bits": [made]}, pa.schema([("segment", pa.int64()), ("words", pa.binary()), ("bits", pa.binary())]))
+
+    def answer(asked: pa.Table, counted: pa.Table) -> pa.Table:
+        known, counts = unpack(b.as_py() for b in counted.column("words"))
+        made = counted.column("bits")[0].as_py() if counted.num_rows else bytes(bits // 8)
+        segment = Filter(np.frombuffer(made, np.uint8), 1, bits, 0, 0, 0, 0.0)
+        out: dict[str, list] = {"words": [], "pairs": [], "counts": []}
+        for c in ("words", "pairs"):
+            for blob in asked.column(c):
+                keys = np.frombuffer(blob.as_py() or b"", np.uint64)
+                out[c].append(segment.probed(keys).astype(np.uint8).tobytes())
+                if c == "words":
+                    exact = np.zeros(len(keys), np.int64)
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                        exact = np.where(known[at] == keys, counts[at], 0)
+                    out["counts"].append(exact.tobytes())
+        return pa.table({"chunk": asked.column("chunk"), "segment": asked.column("segment"), **{c: pa.array(v, pa.binary()) for c, v in out.items()}})
+
+    def finish(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        tokens, first, u, pairs = _chunk_ngrams(docs.column("text"))
+        answers = answers.sort_by("segment")
+
+        def returned(column: str, dtype: type, order: np.ndarray, back: np.ndarray) -> np.ndarray:
+            got = np.empty(len(order), dtype)
+            got[order] = np.frombuffer(b"".join(b.as_py() for b in answers.column(column)), dtype)
+            return got[back]
+
+        keys, back = np.unique(tokens, return_inverse=True)
+        order = _dealt(keys, n_segments)[0]
+        own, c = middle(returned("words", np.uint8, order, back).astype(np.int64)), returned("counts", np.int64, order, back)
+        keys, back = np.unique(pairs, return_inverse=True)
+        pair = middle(returned("pairs", np.uint8, _dealt(keys, n_segments)[0], back).astype(np.int64))
+        p = f.estimates(u, own, pair, float(own[tokens == END][0]))
+        sums = np.diff(np.append(first, len(tokens))), np.add.reduceat((c > 0).astype(np.int64), first), np.add.reduceat(base_term(c, f.tokens, f.words), first), np.add.reduceat(p, first)
+        return pa.table({"doc_id": docs.column("doc_id"), **{name: pa.array(v) for name, v in zip(("n_tokens", "n_known", "base_score", "score"), sums, strict=True)}})
+
+    docs = written(rows.mapInArrow(chunked, f"doc_id {kind}, text string, chunk string"), "chunks")
+    asked = docs.groupBy("chunk").applyInArrow(ask, "segment long, chunk string, words binary, pairs binary")
+    answers = asked.groupBy("segment").cogroup(model.table.mapInArrow(build, "segment long, words binary, bits binary").groupBy("segment")).applyInArrow(answer, "chunk string, segment long, words binary, pairs binary, counts binary")
+    return docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+
+
 def lm_scores(docs: DataFrame, held_out_fold: int = 1, table_words: int = TABLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Train on all rows outside the fold and score every row."""
     training = docs.where(fold_of(F.col(id_col)) != held_out_fold).select(F.col(text_col).cast("string").alias("text"))

@@ -56,6 +56,19 @@ def test_filter_holds_levels_and_never_forgets():
     assert (f.counts(rng.integers(0, 1 << 64, 20_000, np.uint64)) == 0).mean() > 0.9
 
 
+def test_a_filter_beyond_the_broadcast_keeps_its_bits(documents, odd, monkeypatch):
+    def scores(docs):
+        return sorted(((str(r.doc_id), r.n_tokens, r.n_known, r.base_score, r.score) for r in bloom_lm.lm_scores(docs).collect()))
+
+    whole = [scores(d) for d in (documents, odd)]
+    monkeypatch.setattr(bloom_lm, "MOST_FILTER_BYTES", 1 << 12)
+    monkeypatch.setattr(bloom_lm, "CHUNK_BYTES", 1 << 16, raising=False)
+    for docs, want in zip((documents, odd), whole, strict=True):
+        got = scores(docs)
+        assert [r[:3] for r in got] == [r[:3] for r in want]
+        assert np.allclose([r[3:] for r in got], [r[3:] for r in want], rtol=1e-9)
+
+
 def test_lm_of_odd_rows(odd, none):
     got = bloom_lm.lm_scores(odd).collect()
     assert len(got) == odd.count() and sum(r.n_tokens == 1 for r in got) == 4
