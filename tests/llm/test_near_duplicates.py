@@ -143,6 +143,17 @@ def test_similar_groups(spark, monkeypatch, members, block):
     assert len(kept) == len(set(group.values())) and {0, 19} <= kept and not kept & {45, 46}
 
 
+def test_copies_with_an_added_passage_are_found(spark):
+    texts = []
+    for k in range(60):
+        base = prose(500 + k, 60 + 15 * k)
+        texts += [base, base + " " + prose(900 + k, int((60 + 15 * k) * (0.1, 0.16, 0.22)[k % 3]))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    group = {r.doc_id: r.group for r in similar_texts.similar_groups(docs).collect()}
+    want = {(a, b) for a in group for b in group if a < b and jaccard(texts[a], texts[b]) >= 0.8}
+    assert len(want) >= 55 and {(a, b) for a in group for b in group if a < b and group[a] == group[b]} == want
+
+
 def test_one_of_each_group_of_odd_rows(odd, none):
     kept = similar_texts.one_of_each_group(odd)
     assert kept.columns == odd.columns
