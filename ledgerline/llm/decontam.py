@@ -13,19 +13,23 @@ missed with a probability of about 1e-6, a whole one far less.
 Candidates are verified exactly: words, not hashes, of the whole document
 against the item's shingles.
 
-Plan: the items' signatures are broadcast in blocks of at most
-``BLOCK_BYTES`` of item text, a block a pass; documents pass one Arrow map
-each, with no shuffle.  Minima of windows are built from minima of blocks, so
-a document costs its shingles times ``HASHES`` whatever the classes.
+Plan: items of equal text are searched as one.  Their texts are broadcast in
+blocks of at most about ``BLOCK_BYTES``, a block a pass; a worker makes a
+block's signatures once and keeps them; documents pass one Arrow map each,
+with no shuffle.  Pairs then meet the items' ids by the text's hash, in a
+join.  Minima of windows are built from minima of blocks, so a document costs
+its shingles times ``HASHES`` whatever the classes.
 
 Defined results: items with fewer words than a shingle are one shingle of
 that width; items without words (null, empty) match nothing; nor do documents
 without words; every repeated row of either side gives its own pairs; an
-empty side gives no pairs; only ids and texts are read.
+empty side gives no pairs; only ids and texts are read, so other columns may
+have any name.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import reduce
@@ -35,14 +39,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import WordHashes, mixed, shingle_hashes, tidy, utf8_bytes, words_of
+from .storage import shared, small
+from .text import WordHashes, col, mapped_rows, mixed, shingles_by_text, tidy, utf8_bytes, words_of
 
 WIDTH = 5
 CONTAINED = 0.8
 HASHES = 64
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 BATCH_WORDS = 1 << 18
 SIEVE = 1 << 16
+#: Items whose shingles a worker keeps.
+KEPT_ITEMS = 4096
 
 
 def shingles(words: list[bytes], width: int) -> set[tuple[bytes, ...]]:
@@ -58,27 +65,37 @@ def permuted(hashes: np.ndarray, k: int) -> np.ndarray:
 class Items:
     """Signatures of items of one shingle width, by class."""
 
-    def __init__(self, width: int, items: list[tuple[object, list[bytes]]]) -> None:
+    def __init__(self, width: int, items: list[tuple[str, list[bytes]]]) -> None:
         self.width = width
-        self.ids = [i for i, _ in items]
-        self.sets = [shingles(w, width) for _, w in items]
+        self.keys = [k for k, _ in items]
+        self.words = [w for _, w in items]
+        self.sets: dict[int, set[tuple[bytes, ...]]] = {}
         hashes = WordHashes()
-        rows = [shingle_hashes(hashes.of(w), width) for _, w in items]
+        rows = [np.unique(x) for x in shingles_by_text([hashes.of(w) for w in self.words], width)]
         #: class (log2 of its upper size) -> items
         self.classes: dict[int, list[int]] = defaultdict(list)
-        for k, s in enumerate(self.sets):
-            self.classes[max(0, (len(s) - 1).bit_length())].append(k)
+        for k, x in enumerate(rows):
+            self.classes[max(0, (len(x) - 1).bit_length())].append(k)
         self.low = min(self.classes)
         #: (class, hash) -> sieve by low bits, sorted minima, items in that order
         self.minima = {}
         for c, members in self.classes.items():
+            sizes = np.array([len(rows[k]) for k in members])
+            x, starts = np.concatenate([rows[k] for k in members]), np.cumsum(sizes) - sizes
             for h in range(HASHES):
-                least = np.array([permuted(rows[k], h).min() for k in members], np.uint64)
+                least = np.minimum.reduceat(permuted(x, h), starts)
                 sieve = np.zeros(SIEVE, bool)
                 sieve[least & np.uint64(SIEVE - 1)] = True
                 order = np.argsort(least)
                 self.minima[c, h] = sieve, least[order], np.array(members)[order]
 
+    def shingles_of(self, k: int) -> set[tuple[bytes, ...]]:
+        if k not in self.sets:
+            if len(self.sets) >= KEPT_ITEMS:
+                self.sets.clear()
+            self.sets[k] = shingles(self.words[k], self.width)
+        return self.sets[k]
+
     def candidates(self, documents: list[np.ndarray]) -> set[tuple[int, int]]:
         """(document, item) for those that share a minimum in some window; documents are shingle hashes."""
         sizes = np.array([len(d) for d in documents])
@@ -111,20 +128,17 @@ class Items:
 class Search:
     """Items of all widths."""
 
-    def __init__(self, items: list[tuple[object, str | None]], width: int = WIDTH, contained: float = CONTAINED) -> None:
+    def __init__(self, items: Iterable[tuple[str, str | None]], width: int = WIDTH, contained: float = CONTAINED) -> None:
         by_width: dict[int, list] = defaultdict(list)
-        for item_id, text in items:
+        for key, text in items:
             if words := words_of(text):
-                by_width[min(width, len(words))].append((item_id, words))
+                by_width[min(width, len(words))].append((key, words))
         self.groups = [Items(w, own) for w, own in sorted(by_width.items())]
         self.contained = contained
         self.hashes = WordHashes()
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"hashes": WordHashes()}
-
-    def pairs(self, texts: Iterable[str | None]) -> Iterator[tuple[int, object, float]]:
-        """(place of the text, item id, containment) of every match."""
+    def pairs(self, texts: Iterable[str | None]) -> Iterator[tuple[int, str, float]]:
+        """(place of the text, item, containment) of every match."""
         held: list[tuple[int, list[bytes]]] = []
         size = 0
         for k, text in enumerate(texts):
@@ -135,65 +149,81 @@ class Search:
                 held, size = [], 0
         yield from self._matches(held)
 
-    def _matches(self, held: list[tuple[int, list[bytes]]]) -> Iterator[tuple[int, object, float]]:
+    def _matches(self, held: list[tuple[int, list[bytes]]]) -> Iterator[tuple[int, str, float]]:
         rows = [self.hashes.of(words) for _, words in held]
         for items in self.groups:
             found = defaultdict(list)
-            for d, k in items.candidates([shingle_hashes(r, items.width) for r in rows]):
+            own = [x if len(r) >= items.width else x[:0] for r, x in zip(rows, shingles_by_text(rows, items.width), strict=True)]
+            for d, k in items.candidates(own):
                 found[d].append(k)
             for d, members in sorted(found.items()):
-                own = shingles(held[d][1], items.width)
+                whole = shingles(held[d][1], items.width)
                 for k in sorted(members):
-                    share = len(items.sets[k] & own) / len(items.sets[k])
+                    item = items.shingles_of(k)
+                    share = len(item & whole) / len(item)
                     if share >= self.contained:
-                        yield held[d][0], items.ids[k], share
+                        yield held[d][0], items.keys[k], share
+
+
+#: The search of the block that this worker had last, by the block's name.
+_made: dict[str, Search] = {}
+
 
+def _search(name: str, items: list[tuple[str, str]], width: int, contained: float) -> Search:
+    if name not in _made:
+        _made.clear()
+        _made[name] = Search(items, width, contained)
+    return _made[name]
 
-def item_blocks(items: DataFrame) -> Iterator[list[tuple[object, str]]]:
-    """Items in blocks of about ``BLOCK_BYTES`` of text; the number of blocks follows from the table's size."""
-    total = items.agg(F.sum(utf8_bytes(F.col("text")))).first()[0] or 0
+
+def item_blocks(items: DataFrame) -> Iterator[list[tuple[str, str]]]:
+    """Different texts of ``items(key, text)`` in blocks of about ``BLOCK_BYTES``; the number of blocks follows from the table's size."""
+    texts = items.where("text IS NOT NULL").dropDuplicates(["key"])
+    total = texts.agg(F.sum(utf8_bytes(F.col("text")))).first()[0] or 0
     n = max(1, -(-total // BLOCK_BYTES))
     for k in range(n):
-        yield [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]
+        yield [(r.key, r.text) for r in texts.where(F.pmod(F.xxhash64("key"), F.lit(n)) == k).collect()]
+
+
+def _keyed(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    text = col(text_col).cast("string")
+    return items.select(col(item_col).alias("item_id"), text.alias("text"), F.sha2(text, 256).alias("key"))
 
 
 def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, contained: float = CONTAINED, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, containment for every row of ``docs`` and item that it contains."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    own = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
-    kinds = rows.schema["doc_id"].dataType, own.schema["item_id"].dataType
+    rows = docs.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"))
+    own = _keyed(items, item_col, item_text_col)
+    kind = dict(rows.dtypes)["doc_id"]
 
-    def with_block(block: list[tuple[object, str]]) -> DataFrame:
-        search = spark.sparkContext.broadcast(Search(block, width, contained))
+    def with_block(block: list[tuple[str, str]]) -> DataFrame:
+        texts, name = shared(docs.sparkSession, block), uuid.uuid4().hex
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids = batch.column("doc_id")
-                found = list(search.value.pairs(t.as_py() for t in batch.column("text")))
-                places, item_ids, shares = zip(*found, strict=True) if found else ((), (), ())
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(places, pa.int64())), pa.array(item_ids, item_type), pa.array(shares, pa.float64())], ["doc_id", "item_id", "containment"])
-
-        return rows.mapInArrow(tidy(run), f"doc_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, containment double")
+                search = _search(name, texts.value, width, contained)
+                found = list(search.pairs(t.as_py() for t in batch.column("text")))
+                places, keys, shares = zip(*found, strict=True) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(places, pa.int64())), pa.array(keys, pa.string()), pa.array(shares, pa.float64())], ["doc_id", "key", "containment"])
 
-    from pyspark.sql.pandas.types import to_arrow_type
+        return rows.mapInArrow(tidy(run), f"doc_id {kind}, key string, containment double")
 
-    item_type = to_arrow_type(kinds[1])
-    return reduce(DataFrame.unionByName, map(with_block, item_blocks(own)))
+    pairs = reduce(DataFrame.unionByName, map(with_block, item_blocks(own)))
+    return pairs.join(small(own.select("key", "item_id"), "items"), "key").select("doc_id", "item_id", "containment")
 
 
-def without_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, contained: float = CONTAINED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, contained: float = CONTAINED, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Rows of ``docs``, all columns, whose text holds no item; the decision is made where the row is."""
     out = docs
-    columns = [c for c in docs.columns if c != text_col] + [text_col]
-    own = items.select("item_id", F.col("text").cast("string").alias("text"))
-    for block in item_blocks(own):
-        search = docs.sparkSession.sparkContext.broadcast(Search(block, width, contained))
+    at = docs.columns.index(text_col)
+    for block in item_blocks(_keyed(items, item_col, item_text_col)):
+        texts, name = shared(docs.sparkSession, block), uuid.uuid4().hex
 
-        def run(batches: Iterable[pa.RecordBatch], search=search) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterable[pa.RecordBatch], texts=texts, name=name) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                held = {k for k, _, _ in search.value.pairs(t.as_py() for t in batch.column(batch.num_columns - 1))}
+                search = _search(name, texts.value, width, contained)
+                held = {k for k, _, _ in search.pairs(t.as_py() for t in batch.column(at).cast(pa.string()))}
                 yield batch.filter(pa.array([k not in held for k in range(batch.num_rows)], pa.bool_()))
 
-        out = out.select(*columns).mapInArrow(tidy(run), out.select(*columns).schema)
-    return out.select(*docs.columns)
+        out = mapped_rows(out, run)
+    return out

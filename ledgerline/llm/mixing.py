@@ -18,18 +18,21 @@ gets one salt for each ``GROUP_ROWS`` rows, up to ``MOST_SALTS``.  No text passe
 
 Defined results: null or empty texts have size 0 and add nothing; null
 sources form one source of their own, ordered last; a source of size 0 has
-target 0; repeated rows are rows of their own; an empty table gives no rows.
+target 0; repeated rows are rows of their own (which of rows that are alike in
+every column gets a copy is open); an empty table gives no rows; columns may
+have any name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import written
-from .text import word_count
+from .storage import small, written
+from .text import col, fresh, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -38,7 +41,8 @@ MOST_COPIES = 2.0
 GROUP_ROWS, MOST_SALTS = 1000, 10_000
 #: Documents above this share of their source's target are sampled first.
 LARGE = 0.01
-BROADCAST_ROWS = 1_000_000
+#: Ranges of the hash of a row by which rows alike in id, source and text are put in order.
+RANGES = 1024
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES) -> DataFrame:
@@ -75,14 +79,14 @@ def boundaries(position: Column, rows: Column, expected: Column, offset: Column)
 
 def mix(docs: DataFrame, seed: int = 17, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, size, crc (of the text), source_size, target, copies of every row of ``docs``; reruns agree."""
-    text = F.col(text_col)
+    text = col(text_col).cast("string")
     rows = written(
         docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).cast("string").alias("source"),
+            col(id_col).alias("doc_id"),
+            col(source_col).cast("string").alias("source"),
             word_count(text).alias("size"),
             F.crc32(text).alias("crc"),
-            F.xxhash64(F.lit(seed), F.col(id_col), F.crc32(text)).alias("h"),
+            F.xxhash64(F.lit(seed), col(id_col), F.crc32(text)).alias("h"),
         ),
         "mix",
     )
@@ -118,19 +122,48 @@ def mix(docs: DataFrame, seed: int = 17, weights: Sequence[float] = WEIGHTS, sha
 def mixed_rows(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Rows of ``docs``, all columns, as often as the mix takes them.
 
-    Rows that are alike in id, source, size and text hash share their copies:
-    the k-th of them gets the k-th number.
+    Rows that are alike in id, source and text hash share their copies.  In
+    the order of a hash of all their columns, the k-th of them gets the k-th
+    part, so a rerun takes the same rows.
     """
-    text = F.col(text_col)
+    id_, source_, crc_, copies, alike, crc, copy = fresh(docs.columns, "id_", "source_", "crc_", "copies", "alike", "crc", "copy")
     taken = mix(docs, seed, id_col=id_col, text_col=text_col, source_col=source_col)
-    key = [F.col(id_col).eqNullSafe(F.col("__id")), F.col(source_col).eqNullSafe(F.col("__source")), F.col("__crc").eqNullSafe(F.col("__c"))]
-    totals = taken.groupBy("doc_id", "source", "crc").agg(F.sum("copies").alias("all"), F.count("*").alias("rows"))
-    totals = written(totals.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("crc").alias("__c"), "all", "rows"), "copies")
-    keyed = docs.withColumn("__crc", F.crc32(text))
-    joined = keyed.join(F.broadcast(totals) if totals.count() <= BROADCAST_ROWS else totals, key[0] & key[1] & key[2])
-    if totals.where("rows > 1").isEmpty():
-        copies = F.col("all")
+    totals = taken.groupBy(F.col("doc_id").alias(id_), F.col("source").alias(source_), F.col("crc").alias(crc_)).agg(F.sum("copies").alias(copies), F.count("*").alias(alike))
+    totals = small(totals, "copies")
+    keyed = docs.withColumn(crc, F.crc32(col(text_col).cast("string")))
+    on = col(id_col).eqNullSafe(F.col(id_)) & col(source_col).cast("string").eqNullSafe(F.col(source_)) & F.col(crc).eqNullSafe(F.col(crc_))
+    if totals.where(F.col(alike) > 1).isEmpty():
+        out = keyed.join(totals, on)
     else:
-        joined = joined.withColumn("__k", F.row_number().over(Window.partitionBy(id_col, source_col, "__crc").orderBy(F.lit(0))))
-        copies = (F.floor(F.col("__k") * F.col("all") / F.col("rows")) - F.floor((F.col("__k") - 1) * F.col("all") / F.col("rows"))).cast("long")
-    return joined.withColumn("__n", copies).where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+        out = keyed.join(totals.where(F.col(alike) == 1), on)
+        shared = _shared_copies(keyed.join(totals.where(F.col(alike) > 1), on), docs.columns, [id_, source_, crc_], copies, alike)
+        out = out.select(*[col(c) for c in docs.columns], copies).unionByName(shared.select(*[col(c) for c in docs.columns], copies))
+    return out.where(F.col(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*[col(c) for c in docs.columns])
+
+
+def _shared_copies(rows: DataFrame, columns: list[str], key: list[str], copies: str, alike: str) -> DataFrame:
+    """``rows`` with the copies of each; rows of one ``key`` share the number in ``copies``.
+
+    They are numbered inside ranges of a hash of all columns, and inside salts
+    where a range has many rows, so no key is one task.
+    """
+    h, row, part, salt, n, before, place = fresh(rows.columns, "h", "row", "part", "salt", "n", "before", "place")
+    whole = F.xxhash64(F.to_json(F.struct(*[col(c) for c in columns]), {"ignoreNullFields": "false"}))
+    rows = written(rows.withColumn(h, whole).withColumn(row, F.monotonically_increasing_id()).withColumn(part, F.pmod(F.shiftright(h, 32), F.lit(RANGES))), "alike")
+
+    def joined(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
+        """``left`` and the rest of ``right``, which has a row for each of ``names``, null or not."""
+        others = fresh([*left.columns, *right.columns], *[f"of_{c}" for c in names])
+        right = right.withColumnsRenamed(dict(zip(names, others, strict=True)))
+        on = [F.col(c).eqNullSafe(F.col(o)) for c, o in zip(names, others, strict=True)]
+        return left.join(right, reduce(Column.__and__, on)).drop(*others)
+
+    ranges = rows.groupBy(*key, part).agg(F.ceil(F.count("*") / F.lit(GROUP_ROWS)).alias(n))
+    salted = joined(rows, ranges, [*key, part]).withColumn(salt, F.pmod(F.xxhash64(row), F.col(n))).drop(n)
+    groups = salted.groupBy(*key, part, salt).agg(F.count("*").alias(n))
+    earlier = Window.partitionBy(*key).orderBy(part, salt).rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumn(before, F.coalesce(F.sum(n).over(earlier), F.lit(0))).drop(n)
+    inside = Window.partitionBy(*key, part, salt).orderBy(h, row)
+    placed = joined(salted, groups, [*key, part, salt]).withColumn(place, F.col(before) + F.row_number().over(inside))
+    upto = lambda k: F.floor(k * F.col(copies) / F.col(alike))
+    return placed.withColumn(copies, (upto(F.col(place)) - upto(F.col(place) - 1)).cast("long"))

@@ -14,19 +14,23 @@ the tables' sizes, and any labelled row is as likely to be among them.
 
 Plan: ids and labels meet in one join without texts, bounded by a top-k; the
 texts of those rows are fetched by a broadcast join and turned into term
-counts on the workers; the fit is on the driver.  Scoring is a scan and one
-Arrow map, no shuffle.
+counts on the workers; one task fits, and only its model (vectors, projection,
+frequencies) passes through the driver to the broadcast.  Scoring is a scan
+and one Arrow map, no shuffle.
 
 Defined results: a null or empty text, or one whose terms were never seen,
 has no direction and gets the labelled rows' share of label 1; so does every
-text where no row is labelled (0.5 then); neighbours of equal similarity
-count in the labelled rows' order; rows repeated in ``labels`` or documents
-count each; null ids and null labels are not learned from; other columns are
-not read.
+text where no row is labelled (0.5 then); neighbours whose similarity is equal
+to 1 in ``GRID`` count in the labelled rows' order (id as text, then label);
+rows repeated in ``labels`` count each; of documents that share an id the one
+whose text has the least hash is learned from, and each is scored; null ids
+and null labels are not learned from; other columns are not read, so they may
+have any name; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -37,7 +41,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import fold_of, tidy
+from .storage import shared, written
+from .text import col, fold_of, mapped_rows, tidy
 
 WORD_TERMS, SHAPE_TERMS = 3072, 1020
 TERMS = WORD_TERMS + SHAPE_TERMS + 3
@@ -47,6 +52,8 @@ NEIGHBOURS = 25
 SHARPNESS = 8
 MOST_LABELLED = 8192
 BLOCK_DOCS, BLOCK_LABELLED = 256, 4096
+#: Similarities are compared in steps of 1 / GRID: equal vectors must tie wherever they stand in a matrix.
+GRID = 1 << 20
 THRESHOLD = 0.3
 #: Words whose buckets a worker keeps.
 KEPT_WORDS = 200_000
@@ -154,75 +161,99 @@ class Voters:
         if not len(self.labels):
             return np.full(len(rows), self.prior)
         z = self.vectors_of(rows)
-        best_s = np.empty((len(z), 0), np.float32)
-        best_y = np.empty((len(z), 0), np.float32)
+        best = np.empty((len(z), 0), np.int64)  # similarity in steps, then what is left of 2 ** 32 - 1 by the place: the larger the nearer
         for a in range(0, len(self.labels), BLOCK_LABELLED):
-            s = z @ self.vectors[a : a + BLOCK_LABELLED].T
-            k = min(neighbours, s.shape[1])
-            at = np.argpartition(s, s.shape[1] - k, axis=1)[:, -k:]
-            best_s = np.concatenate([best_s, np.take_along_axis(s, at, axis=1)], axis=1)
-            best_y = np.concatenate([best_y, self.labels[a + at]], axis=1)
-        if best_s.shape[1] > neighbours:
-            at = np.argpartition(best_s, best_s.shape[1] - neighbours, axis=1)[:, -neighbours:]
-            best_s, best_y = np.take_along_axis(best_s, at, axis=1), np.take_along_axis(best_y, at, axis=1)
-        vote = np.clip(best_s, 0, 1).astype(np.float64) ** SHARPNESS
-        return (((vote * best_y).sum(axis=1) + 1e-9 * self.prior) / (vote.sum(axis=1) + 1e-9)).clip(0, 1)
+            steps = np.rint((z @ self.vectors[a : a + BLOCK_LABELLED].T) * GRID).astype(np.int64)
+            key = steps << 32 | (LAST - np.arange(a, a + steps.shape[1]))
+            best = np.concatenate([best, _largest(key, neighbours)], axis=1)
+        best = _largest(best, neighbours)
+        vote = ((best >> 32) / GRID).clip(0, 1) ** SHARPNESS
+        voted = self.labels[LAST - (best & LAST)]
+        return (((vote * voted).sum(axis=1) + 1e-9 * self.prior) / (vote.sum(axis=1) + 1e-9)).clip(0, 1)
+
+
+LAST = (1 << 32) - 1
+
+
+def _largest(keys: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` largest of each row, which are all different."""
+    return np.partition(keys, keys.shape[1] - k, axis=1)[:, -k:] if keys.shape[1] > k else keys
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, held_out_fold: int | None, most: int, id_col: str, text_col: str) -> DataFrame:
-    """text, label of at most ``most`` labelled rows outside the fold."""
-    own = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("double").alias("__label")).dropna()
+    """doc, text, label of at most ``most`` labelled rows outside the fold."""
+    own = labels.select(F.col("doc_id").alias("id"), col(label).cast("double").alias("label")).dropna()
     if held_out_fold is not None:
-        own = own.where(fold_of(F.col("__id")) != held_out_fold)
-    ids = docs.select(F.col(id_col).alias("__doc"))
-    chosen = own.join(ids.distinct(), F.col("__id") == F.col("__doc"), "left_semi").orderBy(F.xxhash64("__id", F.lit("voter")), "__id", "__label").limit(most)
-    texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).select("__doc", "text", F.col("__label").alias("label"))  # ``most`` rows
+        own = own.where(fold_of(F.col("id")) != held_out_fold)
+    ids = docs.select(col(id_col).alias("doc"))
+    chosen = written(own.join(ids, F.col("id") == F.col("doc"), "left_semi").orderBy(F.xxhash64("id", F.lit("voter")), "id", "label").limit(most), "voters")
+    texts = docs.select(col(id_col).alias("doc"), col(text_col).cast("string").alias("text"))
+    # ``most`` rows are broadcast; rows of one id become one before they leave their task
+    texts = texts.join(F.broadcast(chosen.select("id")), F.col("doc") == F.col("id"), "left_semi")
+    texts = texts.groupBy("doc").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return chosen.join(texts, F.col("doc") == F.col("id")).select("doc", "text", "label")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out_fold: int | None = 0, most: int = MOST_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Voters:
-    """Voters from the labelled rows; only their term counts come to the driver."""
+    """Voters from the labelled rows: term counts on the workers, the fit (of ``most`` rows) in one task."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
         for batch in batches:
             rows = [np.unique(terms.of(t.as_py()), return_counts=True) for t in batch.column("text")]
             # counts beyond 2 ** 20 of one term say no more
             yield pa.RecordBatch.from_arrays(
-                [batch.column("__doc").cast(pa.string()), batch.column("label"), pa.array([a.astype(np.int32) for a, _ in rows], pa.list_(pa.int32())), pa.array([np.minimum(n, 1 << 20).astype(np.int32) for _, n in rows], pa.list_(pa.int32()))],
+                [batch.column("doc").cast(pa.string()), batch.column("label"), pa.array([a.astype(np.int32) for a, _ in rows], pa.list_(pa.int32())), pa.array([np.minimum(n, 1 << 20).astype(np.int32) for _, n in rows], pa.list_(pa.int32()))],
                 ["doc", "label", "terms", "times"],
             )
 
+    def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            got = pa.Table.from_batches(held).sort_by([("doc", "ascending"), ("label", "ascending")])
+            terms, times = (got.column(c).combine_chunks() for c in ("terms", "times"))
+            voters = Voters.fit(SparseTerms(terms.offsets.to_numpy(), terms.flatten().to_numpy(), times.flatten().to_numpy()), got.column("label").to_numpy())
+            yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(voters)]})
+
     rows = labelled_rows(docs, labels, label, held_out_fold, most, id_col, text_col)
-    got = rows.mapInArrow(tidy(run), "doc string, label double, terms array<int>, times array<int>").toArrow()
-    got = got.sort_by([("doc", "ascending"), ("label", "ascending")]).slice(0, 2 * most).combine_chunks()
-    terms, times = (got.column(c).combine_chunks() for c in ("terms", "times"))
-    rows = SparseTerms(terms.offsets.to_numpy(), terms.flatten().to_numpy(), times.flatten().to_numpy())
-    return Voters.fit(rows, got.column("label").to_numpy())
+    counted = rows.mapInArrow(tidy(count), "doc string, label double, terms array<int>, times array<int>")
+    models = counted.repartition(1).mapInArrow(tidy(learn), "model binary").collect()
+    return pickle.loads(models[0].model) if models else Voters.fit(SparseTerms(*np.zeros((3, 1), np.int64)), np.empty(0))
 
 
-def score(docs: DataFrame, voters: Voters, id_col: str = "doc_id", text_col: str = "text", keep: Iterable[str] | None = None) -> DataFrame:
-    """doc_id and score of every row; or, with ``keep``, those columns and ``__score``."""
-    shared = docs.sparkSession.sparkContext.broadcast(voters)
-    columns = list(keep) if keep is not None else [id_col]
-    name = "__score" if keep is not None else "score"
-    rows = docs.select(*columns, F.col(text_col).cast("string").alias("__text"))
+def score(docs: DataFrame, voters: Voters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and score of every row."""
+    model = shared(docs.sparkSession, voters)
+    rows = docs.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms()
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            for a in range(0, batch.num_rows, BLOCK_DOCS):
-                got = shared.value.scores([terms.of(t.as_py()) for t in texts[a : a + BLOCK_DOCS]])
-                part = batch.slice(a, BLOCK_DOCS)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(got, pa.float64())], [*part.schema.names[:-1], name])
+        for part, scores in _scored(batches, model.value, 1):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
+
+    return rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, score double")
+
+
+def accepted(docs: DataFrame, voters: Voters, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs``, all columns, that score ``threshold`` or more; the decision is made where the row is."""
+    model = shared(docs.sparkSession, voters)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, scores in _scored(batches, model.value, at):
+            yield part.filter(pa.array(scores >= threshold))
+
+    return mapped_rows(docs, run)
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return rows.mapInArrow(tidy(run), StructType([*rows.schema.fields[:-1], StructField(name, DoubleType())]))
+def _scored(batches: Iterable[pa.RecordBatch], voters: Voters, text_at: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    terms = Terms()
+    for batch in batches:
+        for a in range(0, batch.num_rows, BLOCK_DOCS):
+            part = batch.slice(a, BLOCK_DOCS)
+            yield part, voters.scores([terms.of(t.as_py()) for t in part.column(text_at)])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs``."""
     out = score(docs, fit(docs, labels, "quality", held_out_fold, id_col=id_col, text_col=text_col), id_col, text_col)
-    return out.select(F.col(id_col).alias("doc_id"), (fold_of(F.col(id_col)) == held_out_fold).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", (fold_of(F.col("doc_id")) == held_out_fold).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

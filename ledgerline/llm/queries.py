@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom_lm, decontam, fst_tokens, mixing, pfor, pii, quality_knn, rule_cascade, sharding, simhash_gph
-from .storage import scratch_path
+from .storage import shared_dir
 from .text import WORD
 
 
@@ -26,8 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def map_path(spark: SparkSession, use: str) -> str:
+    """Where the slot map of one use is kept from run to run."""
+    return f"{shared_dir(spark)}/ledgerline/slot-maps/{hashlib.md5(use.encode()).hexdigest()}"
+
+
 def op1_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sharding.assign_shards(table(spark, sf_dir, "documents"), 16, map_path=scratch_path(spark, "slot-map"))
+    out = sharding.assign_shards(table(spark, sf_dir, "documents"), 16, map_path=map_path(spark, sf_dir))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("place").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"))
 
 

@@ -1,25 +1,60 @@
-"""The shared scratch folder, and tables written there to cut lineage."""
+"""The shared scratch folder, tables written there to cut lineage, and what finished work gives back.
+
+Scratch lies below one folder an application, which goes when the driver's
+JVM ends; ``released`` drops what a finished block made at once.
+"""
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Parquet bytes of a table that may be broadcast; in memory it takes a few times that.
+BROADCAST_BYTES = 4 << 20
+
+_roots: set[str] = set()
+#: Scratch paths and broadcasts of the blocks of ``released`` that are open, innermost last.
+_open: list[tuple[list[str], list[Broadcast]]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own where it is unset (tests, one machine)."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset, one of our own on a single machine, an error on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="ledgerline-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def hadoop(spark: SparkSession, path: str):
+    """(file system, path) of the JVM."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/ledgerline/{label}-{uuid.uuid4().hex}"
+    """A new path below the application's scratch folder."""
+    root = f"{shared_dir(spark)}/ledgerline/{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        fs, at = hadoop(spark, root)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _roots.add(root)
+    path = f"{root}/{label}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1][0].append(path)
+    return path
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -36,11 +71,80 @@ def written_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
+    trim(spark)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def small(df: DataFrame, label: str, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` written, and marked for broadcast if its files have at most ``most`` bytes; else joins shuffle it."""
+    out, path = written_at(df, label)
+    fs, at = hadoop(df.sparkSession, path)
+    return F.broadcast(out) if fs.getContentSummary(at).getLength() <= most else out
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch path that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    fs, at = hadoop(spark, path)
+    fs.delete(at, True)
+
+
+def shared(spark: SparkSession, value) -> Broadcast:
+    """``value`` broadcast; the block of ``released`` that is open destroys it."""
+    out = spark.sparkContext.broadcast(value)
+    if _open:
+        _open[-1][1].append(out)
+    return out
+
+
+@contextmanager
+def released(spark: SparkSession, *keep: str) -> Iterator[None]:
+    """Scratch paths (but those in ``keep``) and broadcasts made inside go at the end; what outlives it must not read them."""
+    _open.append(([], []))
+    try:
+        yield
+    finally:
+        paths, broadcasts = _open.pop()
+        for b in broadcasts:
+            b.destroy()
+        for path in paths:
+            if path not in keep:
+                drop_path(spark, path)
+        trim(spark)
+
+
+def trim(spark: SparkSession) -> None:
+    """Memory that the driver has freed goes back to the machine: Python's, and the JVM's native memory if it has such a command."""
+    trim_python()
+    app = spark.sparkContext.applicationId
+    if app not in _trims:
+        _trims.clear()
+        _trims[app] = _native_trim(spark)
+    _trims[app]()
+
+
+_trims: dict[str, Callable[[], object]] = {}
+
+
+def _native_trim(spark: SparkSession) -> Callable[[], object]:
+    """What calls the diagnostic command ``System.trim_native_heap``; nothing where the JVM has none."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    methods = {m.getName(): m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods()}
+
+    def prepared(method: str, *arguments) -> Callable[[], object]:  # the server's own class is hidden; its interface is not
+        values = gateway.new_array(jvm.java.lang.Object, len(arguments))
+        for k, x in enumerate(arguments):
+            values[k] = x
+        return lambda: methods[method].invoke(server, values)
+
+    name, command = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    if not prepared("isRegistered", name)() or all(o.getName() != command for o in prepared("getMBeanInfo", name)().getOperations()):
+        return lambda: None
+    return prepared("invoke", name, command, gateway.new_array(jvm.java.lang.Object, 0), gateway.new_array(jvm.java.lang.String, 0))
+
+
+def trim_python() -> None:
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if give:
+        give(0)

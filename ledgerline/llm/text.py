@@ -7,14 +7,15 @@ A-Z alone, so the Python operators work on bytes.
 
 from __future__ import annotations
 
-import ctypes
+from collections.abc import Iterable
 
 import numpy as np
-import pyarrow as pa
 import xxhash
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import trim_python
+
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
@@ -78,7 +79,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """Hashes of the runs of ``width`` words; none if there are fewer words."""
     n = len(words) - width + 1
-    if n <= 0:
+    if n <= 0 or not width:
         return np.empty(0, np.uint64)
     out = np.zeros(n, np.uint64)
     for k in range(width):
@@ -86,14 +87,45 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def shingles_by_text(rows: list[np.ndarray], width: int) -> list[np.ndarray]:
+    """Shingle hashes, with repeats, of each row of word hashes; a row of fewer words is one shingle.  Rows are hashed together."""
+    x = shingle_hashes(np.concatenate(rows), width) if rows else np.empty(0, np.uint64)
+    out, at = [], 0
+    for row in rows:
+        n = len(row)
+        out.append(x[at : at + n - width + 1] if n >= width else shingle_hashes(row, n))
+        at += n
+    return out
+
+
+def col(name: str) -> Column:
+    """The column of exactly this name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(columns: Iterable[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as no column has (Spark's names don't tell cases apart)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def mapped_rows(docs: DataFrame, run) -> DataFrame:
+    """``docs`` through an Arrow map that keeps its columns, which may have any names (Arrow maps refuse some, so they are renamed for it)."""
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return plain.mapInArrow(tidy(run), plain.schema).toDF(*docs.columns)
+
+
 def tidy(run):
     """``run`` for an Arrow map; when its batches end, the worker, which lives on, gives freed memory back to the machine."""
 
     def wrapped(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-        if trim:
-            trim(0)
+        trim_python()
 
     return wrapped

@@ -110,6 +110,30 @@ def test_scores_are_those_of_all_cosines():
     assert got[0] < 0.1 and got[1] > 0.9 and got[2] == pytest.approx(v.prior)
 
 
+def test_equal_neighbours_count_in_their_order(spark):
+    vectors = np.repeat(quality_knn.unit(np.random.default_rng(5).standard_normal((1, 40)).astype(np.float32)), 5000, axis=0)
+    for first in (0, 1):
+        labels = np.where(np.arange(5000) < 30, first, 1 - first).astype(np.float32)
+        v = quality_knn.Voters(np.ones(quality_knn.TERMS, np.float32), np.zeros((quality_knn.TERMS, 40), np.float32), vectors, labels, 0.5)
+        v.vectors_of = lambda rows: vectors[: len(rows)] * 1.0
+        assert v.scores([None] * 9).round(6).tolist() == [float(first)] * 9  # 25 of the first 30
+    text = "some words that stand here"
+    docs = spark.createDataFrame([(k, text) for k in range(60)] + [(3, "another text of this id")], "doc_id long, text string")
+    order = sorted(map(str, range(60)))
+    labels = spark.createDataFrame([(int(d), int(k >= 30)) for k, d in enumerate(order)], "doc_id long, quality int")
+    voters = quality_knn.fit(docs, labels, held_out_fold=None)
+    assert len(voters.labels) == 60
+    scores = {r.doc_id: r.score for r in quality_knn.score(docs.where(docs.text == text), voters).collect()}
+    assert max(scores.values()) < 1e-6
+
+
+def test_accepted_rows_are_those_that_score_enough(spark, documents, small):
+    voters = quality_knn.fit(documents, spark.read.parquet(f"{small}/labels.parquet"))
+    want = {r.doc_id for r in quality_knn.score(documents, voters).collect() if r.score >= 0.5}
+    got = quality_knn.accepted(documents.withColumnRenamed("lang", "a.b"), voters, 0.5)
+    assert "a.b" in got.columns and {r.doc_id for r in got.collect()} == want
+
+
 def test_quality_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(k, k % 2, None) for k in range(12)] + [(None, 1, None), (5, None, None), (4, 0, None)], "doc_id long, quality int, toxic int")
     got = quality_knn.quality_scores(odd, labels).collect()
@@ -161,8 +185,13 @@ def test_items_of_all_sizes_at_any_place(spark):
 def test_blocks_of_items_find_the_same(spark, small, documents, monkeypatch):
     items = spark.read.parquet(f"{small}/benchmark.parquet")
     whole = sorted(map(tuple, decontam.contained_items(documents, items).collect()))
-    monkeypatch.setattr(decontam, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 20_000)
     assert sorted(map(tuple, decontam.contained_items(documents, items).collect())) == whole and whole
+    kept = {r.doc_id for r in decontam.without_items(documents, items).collect()}
+    assert kept == {r.doc_id for r in documents.select("doc_id").collect()} - {r[0] for r in whole}
+    again = items.unionByName(items.selectExpr("item_id + 100000 AS item_id", *[c for c in items.columns if c != "item_id"]))
+    assert len(list(decontam.item_blocks(decontam._keyed(again, "item_id", "text")))) == len(list(decontam.item_blocks(decontam._keyed(items, "item_id", "text"))))
+    assert decontam.contained_items(documents, again).count() == 2 * len(whole)
 
 
 def test_decontamination_of_odd_rows(spark, odd, none):

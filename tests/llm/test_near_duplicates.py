@@ -100,8 +100,11 @@ def test_every_allocation_is_complete():
 def test_components(spark):
     edges = [(k, k + 1) for k in range(50)] + [(100, 200), (200, 150), (7, 7), (300, 400), (300, 401), (300, 402)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert all(got[k] == 0 for k in range(51)) and got[200] == got[150] == got[100] == 100 and got[402] == 300 and 7 in got
-    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+    assert all(got[k] == 0 for k in range(51)) and got[200] == got[150] == got[100] == 100 and got[402] == 300 and got[7] == 0
+    rounds = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long"), one_task=0).collect()}
+    assert rounds == got
+    for most in (0, 1 << 18):
+        assert components.components(spark.createDataFrame([], "u long, v long"), one_task=most).count() == 0
 
 
 def jaccard(a: str, b: str) -> float:
@@ -121,26 +124,61 @@ def copies(n: int) -> list[str]:
     return out
 
 
-@pytest.mark.parametrize("members,block", [(512, 4096), (4, 8)])
-def test_similar_groups(spark, monkeypatch, members, block):
+def connected(texts: dict[int, str], similar: float = 0.8) -> dict[int, int]:
+    """Least id of each text's group, by brute force."""
+    root = {k: k for k in texts}
+    for a in texts:
+        for b in texts:
+            if a < b and root[a] != root[b] and jaccard(texts[a], texts[b]) >= similar:
+                x, y = sorted((root[a], root[b]))
+                root = {k: x if v == y else v for k, v in root.items()}
+    return root
+
+
+def by_group(rows) -> list[list[int]]:
+    out: dict = {}
+    for r in rows:
+        out.setdefault(r.group, []).append(r.doc_id)
+    return sorted(map(sorted, out.values()))
+
+
+@pytest.mark.parametrize("members,one_task", [(512, 1 << 18), (4, 0)])
+def test_similar_groups(spark, monkeypatch, members, one_task):
     monkeypatch.setattr(similar_texts, "MEMBERS", members)
-    monkeypatch.setattr(similar_texts, "BLOCK", block)
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
     texts = [prose(k, 150) for k in range(20)] + copies(25) + [prose(3, 150).upper(), prose(4, 150) + "  \n"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows = similar_texts.similar_groups(docs).collect()
-    group = {r.doc_id: r.group for r in rows}
-    fps = {k: similar_texts.word_set_fingerprint(t, similar_texts._Digests()) for k, t in enumerate(texts)}
-    # every candidate pair of enough similarity is together; groups are no larger than those links make them
-    root = {k: k for k in group}
-    for a in group:
-        for b in group:
-            if a < b and ((fps[a] ^ fps[b]) & ((1 << 64) - 1)).bit_count() <= similar_texts.DISTANCE and jaccard(texts[a], texts[b]) >= 0.8:
-                x, y = root[a], root[b]
-                root = {k: x if v == y else v for k, v in root.items()}
-    assert len(set(root.values())) == len(set(group.values()))
-    assert all((root[a] == root[b]) == (group[a] == group[b]) for a in group for b in group)
-    kept = {r.doc_id for r in similar_texts.one_of_each_group(docs).collect()}
-    assert len(kept) == len(set(group.values())) and {0, 19} <= kept and not kept & {45, 46}
+    want: dict[int, list[int]] = {}
+    for k, r in connected(dict(enumerate(texts))).items():
+        want.setdefault(r, []).append(k)
+    assert by_group(similar_texts.similar_groups(docs).collect()) == sorted(want.values())
+    if members > 4:
+        kept = {r.doc_id for r in similar_texts.one_of_each_group(docs).collect()}
+        assert kept == set(want) and {0, 19} <= kept and not kept & {45, 46}
+
+
+def test_a_chain_across_blocks_stays_one_group(spark, monkeypatch):
+    monkeypatch.setattr(similar_texts, "MEMBERS", 3)
+    words, texts = prose(70, 160).split(), {}
+    for k in range(24):  # each differs from the next in a few words, ends of the chain in most
+        texts[k] = " ".join(words)
+        words[7 * k % 160 : 7 * k % 160 + 7] = prose(700 + k, 7).split()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert set(connected(texts).values()) == {0} and jaccard(texts[0], texts[23]) < 0.3
+    assert len(by_group(similar_texts.similar_groups(docs).collect())) == 1
+
+
+@pytest.mark.parametrize("n", [40, 250, 290, 330, 1500])
+def test_bands_of_both_kinds_find_pairs_of_the_least_similarity(n):
+    rng = np.random.default_rng(n)
+    shared = []
+    for _ in range(300):
+        a = rng.integers(0, 1 << 64, n, np.uint64)
+        b = np.unique(np.concatenate([a, rng.integers(0, 1 << 64, n // 4, np.uint64)]))  # J is 0.8
+        x, y = similar_texts.bands_of([np.unique(a), b])
+        shared.append(len(np.intersect1d(x, y)))
+        assert len(np.intersect1d(x, similar_texts.bands_of([rng.integers(0, 1 << 64, n, np.uint64)])[0])) == 0
+    assert min(shared) >= 1 and np.mean(shared) > 10.5  # of 36 bands 11.8 are expected
 
 
 def test_copies_with_an_added_passage_are_found(spark):
@@ -164,6 +202,14 @@ def test_one_of_each_group_of_odd_rows(odd, none):
     assert similar_texts.one_of_each_group(none).count() == 0
 
 
+def test_rows_of_one_id_and_names_with_dots(spark):
+    rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (1, "other words stand here", "z"), (None, "A b C d e  f", "w"), (2, "a b c d e f", "v"), (3, None, "u"), (4, "", "t")]
+    docs = spark.createDataFrame(rows, "`the.id` long, `the text` string, row_hash string")
+    kept = similar_texts.one_of_each_group(docs, id_col="the.id", text_col="the text")
+    assert kept.columns == docs.columns
+    assert sorted((r[0], r[1]) for r in kept.collect()) == [(1, "a b c d e f"), (1, "other words stand here"), (3, None)]
+
+
 def test_many_copies_make_no_pairs(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("one text of some words")).otherwise(F.concat(F.lit("other "), F.sha2(F.col("id").cast("string"), 256))).alias("text"))
     got = simhash_gph.near_duplicates(docs)

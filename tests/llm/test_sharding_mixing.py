@@ -45,11 +45,45 @@ def test_maps_are_versioned_and_edits_are_small(spark):
     path = scratch_path(spark, "map")
     for m in (first, second, third):
         m.save(spark, path)
-    assert sharding.SlotMap.load(spark, path, 3).shard_of == third.shard_of
+    assert sharding.SlotMap.load(spark, path, 3) == third == sharding.SlotMap.newest(spark, path)
     with pytest.raises(Exception, match="exist"):
         third.save(spark, path)
 
 
+def test_a_later_run_edits_the_stored_map(spark, documents):
+    path = scratch_path(spark, "map")
+    assert sharding.SlotMap.newest(spark, path) is None
+
+    def run(docs, n):
+        return {r.doc_id: (r.vslot, r.shard) for r in sharding.assign_shards(docs, n, 512, path).collect()}
+
+    first = run(documents, 8)
+    map_1 = sharding.SlotMap.newest(spark, path)
+    assert run(documents, 8) == first and sharding.SlotMap.newest(spark, path) == map_1  # nothing to move, no new version
+    fewer = run(documents.where("doc_id % 3 <> 0"), 8)
+    map_2 = sharding.SlotMap.newest(spark, path)
+    assert map_2.version == map_1.version + 1 and map_2.moved
+    assert all(first[d][0] == slot and (first[d][1] == shard or slot in map_2.moved) for d, (slot, shard) in fewer.items())
+    more = run(documents, 9)
+    assert any(s == 8 for _, s in more.values()) and sharding.SlotMap.newest(spark, path).n_shards == 9
+    with pytest.raises(ValueError):
+        run(documents, 4)
+
+
+@pytest.mark.parametrize("part_rows", [1 << 18, 5])
+@pytest.mark.parametrize("keep", [False, True])
+def test_a_hot_id_spreads(spark, monkeypatch, part_rows, keep):
+    monkeypatch.setattr(sharding, "PART_ROWS", part_rows)
+    docs = spark.range(900).selectExpr("IF(id % 3 = 0, 7, id + 100) AS doc_id", "concat('some words ', IF(id % 2 = 0, 'x', string(id))) AS text", "id AS size", "id AS row")
+    rows = sharding.assign_shards(docs, 4, 64, keep=keep).collect()
+    size, shard = ("_size", "shard") if keep else ("size", "shard")
+    loads = [sum(r[size] for r in rows if r[shard] == s) for s in range(4)]
+    assert len(rows) == 900 and max(loads) - min(loads) < 0.1 * sum(loads) / 4
+    assert all(sorted(r.place for r in rows if r[shard] == s) == list(range(sum(r[shard] == s for r in rows))) for s in range(4))
+    if keep:
+        assert sorted(r["size"] for r in rows) == list(range(900))
+
+
 def water(sizes: dict, weights=(5, 2, 1), share=1.5, most=2.0) -> dict:
     """Targets by the rule as it is told: share by weight, cap, share the excess again."""
     names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
@@ -101,3 +135,22 @@ def test_one_source_and_size_may_hold_most_rows(spark):
     docs = spark.range(5000).selectExpr("id AS doc_id", "'same three words' AS text", "IF(id % 3 = 0, 'hot', concat('s', id % 7)) AS source")
     got = mixing.mix(docs).groupBy("source").agg({"copies": "sum", "target": "max"}).collect()
     assert all(abs(3 * r["sum(copies)"] - r["max(target)"]) <= 3 for r in got)
+
+
+@pytest.mark.parametrize("group_rows", [1000, 7])
+def test_rows_alike_share_their_copies_in_a_fixed_order(spark, monkeypatch, group_rows):
+    monkeypatch.setattr(mixing, "GROUP_ROWS", group_rows)
+    docs = spark.range(300).selectExpr("IF(id < 200, 5, id) AS doc_id", "'a b c' AS text", "IF(id % 2 = 0, 's', 't') AS source", "id AS mark", "id AS copies")
+    picked = []
+    for n in (3, 5):
+        rows = mixing.mixed_rows(docs.repartition(n)).collect()
+        picked.append(sorted(r.mark for r in rows))
+        copies = defaultdict(int)
+        for r in rows:
+            copies[r.mark] += 1
+        for s in (0, 1):  # 100 rows of one id and source: each has its share of their copies, rounded
+            own = [copies[m] for m in range(200) if m % 2 == s]
+            assert max(own) - min(own) <= 1
+    assert picked[0] == picked[1] or group_rows < 100
+    taken = sum(r.copies for r in mixing.mix(docs).collect())
+    assert len(picked[0]) == len(picked[1]) == taken
