@@ -64,9 +64,12 @@ def test_damage(spark, tmp_path):
     assert seglog.open_log(spark, path).count() == 7
     s = {r.seg_base: r for r in seglog.summaries(spark, path).collect()}
     assert s[7].torn and s[7].records == 1 and s[7].end_off == 80
-    assert seglog.trim_torn_tail(path) and not seglog.trim_torn_tail(path)
-    write(spark, path, rows(8, 1))  # a new segment follows the trimmed one
+    write(spark, path, rows(8, 1))  # the torn end goes before a new segment follows
+    assert not seglog.trim_torn_tail(path)
     assert bases(path) == [1, 4, 7, 8] and seglog.open_log(spark, path).count() == 8
+    open(seglog.segments(path)[-1][1], "wb").write(b"\1" * 80)  # a segment of which nothing is whole
+    write(spark, path, rows(8, 2))
+    assert bases(path) == [1, 4, 7, 8] and seglog.open_log(spark, path).count() == 9
     middle = bytearray(open(files[1], "rb").read())
     middle[200] ^= 1
     open(files[1], "wb").write(middle)
@@ -106,16 +109,81 @@ def test_streams(spark, tmp_path):
         drain(log_streams.subscribe(spark, path, 1), "late")
 
 
-def test_admission_by_batches_is_repeatable(spark, tmp_path):
-    path = str(tmp_path / "log")
-    os.makedirs(path)
-    schema = "arrival long, session long, client_seq long, partition_key long, record_type int, flags int, payload binary"
-    batch = spark.createDataFrame([(k, 5, c, 1, 0, 3, b"x") for k, c in enumerate([1, 2, 2, 4, 3])], schema)
-    run = log_streams.admit_batches(path)
-    run(batch, 0)
-    run(batch, 0)
+def test_a_batch_of_the_admission_may_run_again(spark, tmp_path):
+    path, answers = str(tmp_path / "log"), str(tmp_path / "answers")
+    schema = "arrival long, session long, client_seq long, partition_key long, record_type int, flags int, payload binary, status int"
+    first = spark.createDataFrame([(k, 5, c, 1, 0, 3, b"x", s) for k, (c, s) in enumerate([(1, 0), (2, 0), (2, -1), (4, 0), (3, -1)])], schema)
+    run = log_streams.append_batches(path, answers)
+    run(first, 0)
+    run(first, 0)
+    run(first.withColumn("client_seq", F.col("client_seq") + 10), 1)
     got = seglog.open_log(spark, path).orderBy("seq").collect()
-    assert [(r.seq, r.client_seq) for r in got] == [(1, 1), (2, 2), (3, 4)]
+    assert [(r.seq, r.client_seq) for r in got] == [(1, 1), (2, 2), (3, 4), (4, 11), (5, 12), (6, 14)]
+    told = spark.read.parquet(answers).where("batch = 0").orderBy("arrival").collect()
+    assert [(r.status, r.seq) for r in told] == [(0, 1), (0, 2), (-1, None), (0, 3), (-1, None)]
+
+
+def test_index_skips_bytes_and_is_not_needed(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "log")
+    write(spark, path, rows(1, 30), capacity=1 << 20)
+    (_, file), = seglog.segments(path)
+    assert seglog.load_index(path, file)[0] == 30
+    monkeypatch.setattr(seglog, "STRIDE", 4)
+    open(seglog.index_of(file), "wb").write(seglog.INDEX.pack(30, 2400) + b"".join((k * 80).to_bytes(8, "little") for k in range(0, 30, 4)))  # the writer's stride is longer
+    read = []
+    load = seglog.load
+    monkeypatch.setattr(seglog, "load", lambda p, f, a=0, b=None: read.append((f, a, b)) or load(p, f, a, b))
+
+    def seqs(low, high):
+        read.clear()
+        part = seglog.Segment(1, file, None, low, high)
+        return [x for b in seglog.batches(path, part, ["seq", "off"]) for x in zip(*b.to_pydict().values(), strict=True)]
+
+    for low, high in ((1, None), (1, 3), (9, 10), (13, 28), (30, 30), (31, 40), (4, 5)):
+        want = [(k, (k - 1) * 80) for k in range(low, min(high or 30, 30) + 1)]
+        assert seqs(low, high) == want
+        if (low, high) == (9, 10):
+            assert (file, 640, 960) in read
+        os.rename(seglog.index_of(file), str(tmp_path / "away"))
+        assert seqs(low, high) == want
+        os.rename(str(tmp_path / "away"), seglog.index_of(file))
+    data = open(file, "rb").read()
+    open(file, "wb").write(data[:-8])  # the index is of another size now
+    assert seqs(20, None) == [(k, (k - 1) * 80) for k in range(20, 30)] and seglog.next_seq(path) == 30
+
+
+def test_a_bounded_reader_keeps_its_bound_after_a_restart(spark, tmp_path):
+    path, out = str(tmp_path / "log"), []
+    write(spark, path, rows(1, 20))
+    progress = str(tmp_path / "at")
+
+    def drain():
+        stream = log_streams.subscribe(spark, path, 1, most=6, progress=progress)
+        q = stream.writeStream.foreachBatch(lambda b, n: out.append(sorted(r.seq for r in b.collect()))).option("checkpointLocation", str(tmp_path / "c")).start()
+        q.processAllAvailable()
+        q.stop()
+
+    drain()
+    assert out == [list(range(1, 7)), list(range(7, 13)), list(range(13, 19)), [19, 20]]
+    write(spark, path, rows(21, 40))
+    drain()
+    assert sum(out, []) == list(range(1, 61)) and max(map(len, out)) <= 12
+
+
+def test_deadlines_by_the_clock(spark, tmp_path):
+    schema = "seq long, at timestamp, kind string, flags int"
+    spark.createDataFrame([(1, None, "write", 12), (2, None, "write", 4), (3, None, "write", 4), (3, None, "durable", 0)], schema).withColumn("at", F.current_timestamp()).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = log_streams.deadline_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 500, "processing")
+    q = stream.writeStream.format("memory").queryName("waits").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="200 milliseconds").start()
+    try:
+        for _ in range(100):
+            got = {(r.seq, r.outcome) for r in spark.sql("SELECT * FROM waits").collect()}
+            if len(got) == 3:
+                break
+            q.awaitTermination(1)
+    finally:
+        q.stop()
+    assert got == {(1, "degraded"), (2, "no_replicas"), (3, "ack")}
 
 
 def test_stateful_dedup_equals_batch_form(spark, tmp_path):
