@@ -6,21 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.prefix import running
-from ..schema import ACK_REQ, ALLOW_DEGRADED, DEGRADED, NO_REPLICAS, NO_SESSION, NOT_LEADER, OK, PAYLOAD_TOO_BIG, REPLICATED, SYNC
+from ..schema import ACK_REQ, ALLOW_DEGRADED, DEGRADED, NO_REPLICAS, NO_SESSION, NOT_LEADER, OK, PAYLOAD_TOO_BIG, REPLICATED, SYNC, unsigned_order
 
 
 def marked(requests: DataFrame) -> DataFrame:
-    """``requests`` and ``mark``: the greatest client_seq of the session that arrived before (0 if none).
+    """``requests`` and ``mark``: the greatest client_seq (unsigned) of the session that arrived before (0 if none).
 
     The rule is a high-water mark, not a set: a number at or below the mark
     is a duplicate even if it never came.  Duplicates never raise the mark.
     """
-    return running(requests, ["session"], "arrival", F.col("client_seq"), "mark", "max", inclusive=False).withColumn("mark", F.coalesce("mark", F.lit(0)).cast("long"))
+    rows = running(requests, ["session"], "arrival", unsigned_order(F.col("client_seq")), "mark", "max", inclusive=False)
+    return rows.withColumn("mark", F.coalesce(unsigned_order(F.col("mark")), F.lit(0)).cast("long"))
 
 
 def dedup(requests: DataFrame) -> DataFrame:
     """``requests`` and ``dup``."""
-    return marked(requests).withColumn("dup", F.col("client_seq") <= F.col("mark")).drop("mark")
+    return marked(requests).withColumn("dup", unsigned_order(F.col("client_seq")) <= unsigned_order(F.col("mark"))).drop("mark")
 
 
 def has(flags: Column, flag: int) -> Column:
@@ -43,11 +44,12 @@ def admit(requests: DataFrame, leader: bool | Column = True, replicas: int | Col
         .when(has(flags, REPLICATED) & ~has(flags, ALLOW_DEGRADED) & (replicas == 0), NO_REPLICAS)
     )
     rows = requests.withColumn("__refused", refused)
-    counted = F.when(F.col("__refused").isNull() & (F.col("len") <= most_payload), F.col("client_seq"))
+    number = unsigned_order(F.col("client_seq"))
+    counted = F.when(F.col("__refused").isNull() & (F.col("len") <= most_payload), number)
     rows = running(rows, ["session"], "arrival", counted, "__mark", "max", inclusive=False)
     status = F.coalesce(
         F.col("__refused"),
-        F.when(F.col("client_seq") <= F.coalesce("__mark", F.lit(0)), -1),
+        F.when(number <= F.coalesce("__mark", unsigned_order(F.lit(0).cast("long"))), -1),
         F.when(F.col("len") > most_payload, PAYLOAD_TOO_BIG),
         F.lit(OK),
     )
@@ -63,7 +65,7 @@ def cumulative_acks(accepted: DataFrame, batch: Column) -> DataFrame:
     """session, batch, level, client_seq, wal_seq, flags: one acknowledgement a session, flush and level."""
     rows = accepted.where(has(F.col("flags"), ACK_REQ)).withColumn("batch", batch)
     level = F.when(has(F.col("flags"), REPLICATED), "replicated").otherwise("local")
-    return rows.groupBy("session", "batch", level.alias("level")).agg(F.max("client_seq").alias("client_seq"), F.max("seq").alias("wal_seq"), F.bit_or(answer_flags(F.col("flags"))).cast("int").alias("flags"))
+    return rows.groupBy("session", "batch", level.alias("level")).agg(unsigned_order(F.max(unsigned_order(F.col("client_seq")))).alias("client_seq"), F.max("seq").alias("wal_seq"), F.bit_or(answer_flags(F.col("flags"))).cast("int").alias("flags"))
 
 
 def ack_route(flags: Column, replicas: Column) -> Column:
@@ -72,5 +74,13 @@ def ack_route(flags: Column, replicas: Column) -> Column:
 
 
 def level_of(flags: Column) -> Column:
-    """Level of an answer, read off its flags."""
-    return F.when(has(flags, DEGRADED), "degraded").when(has(flags, REPLICATED), "replicated").when(has(flags, SYNC), "sync").otherwise("append")
+    """Level that an answer counts under, read off its own flags: one that was degraded is what the flush alone gave."""
+    return F.when(has(flags, REPLICATED) & ~has(flags, DEGRADED), "replicated").when(has(flags, SYNC), "sync").otherwise("append")
+
+
+def refusal_text(status: Column, leader: str) -> Column:
+    """Text of an answer: a follower that refuses a write names the leader, in 64 bytes at most; others have none."""
+    return F.when(status == NOT_LEADER, F.lit(leader.encode()[:MOST_TEXT].decode(errors="ignore"))).otherwise(F.lit(""))
+
+
+MOST_TEXT = 64

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.prefix import running
+from ..plans.prefix import before, running
 from ..schema import ALLOW_DEGRADED, NO_HISTORY, NOT_LEADER, REPLICA_FRAME_BYTES, UNSUPPORTED
 from .admit import has
 from .log import pack, packed_segments
@@ -66,8 +66,7 @@ def outcome(flags: Column, satisfied: Column) -> Column:
 
 def refusals_to_log(attempts: DataFrame) -> DataFrame:
     """Attempts (slot, attempt, code) to log: those whose code differs from the slot's last."""
-    w = Window.partitionBy("slot").orderBy("attempt")
-    return attempts.withColumn("before", F.lag("code").over(w)).where("code <> 0 AND (before IS NULL OR before <> code)").drop("before")
+    return before(attempts, ["slot"], "attempt", "code", "before").where("code <> 0 AND (before IS NULL OR before <> code)").drop("before")
 
 
 def progress(applied: DataFrame, batch: Column) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.prefix import running
+from ..plans.prefix import running, runnings
 from .views import session_table
 
+MOST_SLOTS = 64
+
 
 def mark(segments: DataFrame, keep: int) -> DataFrame:
     """One row, keep_from: base of the oldest of the newest ``keep`` segments; 0 if there are no more than that."""
@@ -27,13 +29,16 @@ def floor(peers: DataFrame, wanted: int) -> DataFrame:
     """event, floor: the least durable seq of live replicas while ``wanted`` are live; it never falls.
 
     ``peers(event, slot, live, durable)`` are reports; a slot's last report
-    stands until its next.
+    stands until its next.  More than ``MOST_SLOTS`` slots are refused.
     """
-    slots = [r.slot for r in peers.select("slot").distinct().orderBy("slot").limit(64).collect()]
-    rows = peers
-    for s in slots:
-        rows = running(rows, [], "event", F.when(F.col("slot") == s, F.struct("event", "live", "durable")), f"s{s}", "max")
-    state = [F.when(F.col(f"s{s}.live"), F.col(f"s{s}.durable")) for s in slots]
+    slots = [r.slot for r in peers.select("slot").distinct().orderBy("slot").limit(MOST_SLOTS + 1).collect()]
+    if len(slots) > MOST_SLOTS:
+        raise ValueError(f"reports of more than {MOST_SLOTS} replicas")
+    if not slots:
+        return peers.select("event", F.lit(0).cast("long").alias("floor"))
+    reports = {f"s{k}": F.when(F.col("slot") == s, F.struct("event", "live", "durable")) for k, s in enumerate(slots)}
+    rows = runnings(peers, [], "event", reports, "max")
+    state = [F.when(F.col(f"{c}.live"), F.col(f"{c}.durable")) for c in reports]
     live = sum((F.when(x.isNotNull(), 1).otherwise(0) for x in state), F.lit(0))
     least = F.least(*state) if len(state) > 1 else state[0]
     now = rows.select("event", F.when(live >= wanted, least).alias("now"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import INDEX_CAP, SESSION_CAP, SESSION_UNKNOWN
+from ..plans.prefix import before
+from ..schema import INDEX_CAP, SESSION_CAP, SESSION_UNKNOWN, unsigned_order
 
 
 def summary(log: DataFrame, seg_base: str = "seg_base") -> DataFrame:
@@ -40,9 +43,9 @@ def key_range(index: DataFrame, asked: DataFrame, key: str = "partition_key") ->
 def session_table(log: DataFrame, cap: int = SESSION_CAP) -> DataFrame:
     """The ``cap`` sessions seen last: session, last_client_seq, last_seq.  Session 0 is no session.
 
-    Exact while marks rise in the log, which admission guarantees.
+    Client numbers are unsigned.  Exact while marks rise in the log, which admission guarantees.
     """
-    return log.where("session <> 0").groupBy("session").agg(F.max("client_seq").alias("last_client_seq"), F.max("seq").alias("last_seq")).orderBy(F.desc("last_seq")).limit(cap)
+    return log.where("session <> 0").groupBy("session").agg(unsigned_order(F.max(unsigned_order(F.col("client_seq")))).alias("last_client_seq"), F.max("seq").alias("last_seq")).orderBy(F.desc("last_seq")).limit(cap)
 
 
 def resume(asked: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -54,30 +57,51 @@ def resume(asked: DataFrame, sessions: DataFrame) -> DataFrame:
 
 def marks_rise(log: DataFrame) -> DataFrame:
     """Breaks of the invariant behind ``session_table``: rows whose client_seq is not above the session's last."""
-    w = Window.partitionBy("session").orderBy("seq")
-    return log.where("session <> 0").withColumn("before", F.lag("client_seq").over(w)).where("client_seq <= before").select("seq", "session", "client_seq", "before")
+    rows = before(log.where("session <> 0"), ["session"], "seq", "client_seq", "before")
+    return rows.where(unsigned_order(F.col("client_seq")) <= unsigned_order(F.col("before"))).select("seq", "session", "client_seq", "before")
 
 
-def evictions(log: DataFrame, cap: int = SESSION_CAP) -> DataFrame:
-    """evicted, held: how often a full table replaced its least recently seen session.
+def evictions(log: DataFrame, cap: int = SESSION_CAP, width: int = 1 << 20) -> DataFrame:
+    """evicted, held: how often a full table replaced its least recently seen session, and what it holds at the end.
 
-    A session's return is an insertion iff ``cap`` or more others were seen
-    since.  Evictions depend on the whole order, so the fold runs in one task
-    in order, over session ids alone and with ``cap`` sessions of state.
+    The table at any place of the log is the ``cap`` sessions seen last.  So
+    the log is cut into ranges of ``width`` records; a range states its own
+    last ``cap`` sessions (a partial aggregate), one task composes these in
+    order, ``cap`` rows a range, and every range is played in a task of its
+    own from the table that it starts with.
     """
+    rows = log.where("session <> 0").select("seq", "session", F.floor(F.col("seq") / width).cast("long").alias("range"))
+    newest = Window.partitionBy("range").orderBy(F.desc("seq"))
+    seen = rows.groupBy("range", "session").agg(F.max("seq").alias("seq")).withColumn("n", F.row_number().over(newest)).where(F.col("n") <= cap).drop("n")
 
-    def fold(batches):
+    def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table: dict[int, None] = {}
-        evicted = 0
+        current = None
         for pdf in batches:
-            for s in pdf["session"]:
-                if s in table:
-                    del table[s]
-                elif len(table) >= cap:
-                    del table[next(iter(table))]
-                    evicted += 1
+            for r, s in zip(pdf["range"].tolist(), pdf["session"].tolist(), strict=True):
+                if r != current:
+                    current = r
+                    yield pd.DataFrame({"range": [r], "start": [list(table)]})
+                table.pop(s, None)
                 table[s] = None
-        yield pd.DataFrame({"evicted": [evicted], "held": [len(table)]})
+                if len(table) > cap:
+                    del table[next(iter(table))]
+        yield pd.DataFrame({"range": [None], "start": [list(table)]}).astype({"range": "Int64"})
+
+    starts = seen.repartition(1).sortWithinPartitions("range", "seq").select("range", "session").mapInPandas(compose, "range long, start array<long>")
 
-    rows = log.where("session <> 0").select("seq", "session").repartition(1).sortWithinPartitions("seq").select("session")
-    return rows.mapInPandas(fold, "evicted long, held long")
+    def play(pdf: pd.DataFrame) -> pd.DataFrame:
+        table: dict[int, None] = dict.fromkeys(pdf["start"].iloc[0])
+        evicted = 0
+        for s in pdf.sort_values("seq")["session"].tolist():
+            if s in table:
+                del table[s]
+            elif len(table) >= cap:
+                del table[next(iter(table))]
+                evicted += 1
+            table[s] = None
+        return pd.DataFrame({"evicted": [evicted]})
+
+    played = rows.join(starts, "range").groupBy("range").applyInPandas(play, "evicted long").agg(F.coalesce(F.sum("evicted"), F.lit(0)).alias("evicted"))
+    held = starts.where("range IS NULL").agg(F.coalesce(F.max(F.size("start")), F.lit(0)).cast("long").alias("held"))
+    return played.crossJoin(held)  # one row each

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import codec
 from ..functions.text import seconds_text
-from ..operators import admit, log, metrics, read, repl, retain, views
+from ..operators import admit, log, metrics, read, repl, retain, views, wire
 from ..plans.prefix import running
-from ..schema import NO_HISTORY, record_size
+from ..schema import NO_HISTORY, record_size, unsigned_text
+from ..shared import scratch_path
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -169,6 +172,23 @@ def admit_dedup(spark, d):
     return admit.dedup(fx.requests(spark, d)).select("arrival", "session", "client_seq", "dup")
 
 
+HIGH = LOG + """, high AS (SELECT arrival, session, CAST(client_seq AS HUGEINT) + 9223372036854775758 AS n, seq FROM
+  (SELECT (seq - 1) * 4 AS arrival, session, client_seq, seq FROM log UNION ALL SELECT (seq + 36) * 4 + 1, session, client_seq, seq FROM log WHERE (seq - 1) % 5 = 0))"""
+
+
+@query(f"WITH {HIGH} SELECT arrival, session, CAST(n AS VARCHAR) AS client_seq, n <= coalesce(max(n) OVER (PARTITION BY session ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS dup FROM high")
+def admit_dedup_high(spark, d):
+    """O-26 where client numbers pass 2^63: they are unsigned."""
+    return admit.dedup(fx.high(fx.requests(spark, d))).select("arrival", "session", unsigned_text(F.col("client_seq")).alias("client_seq"), "dup")
+
+
+@query(f"WITH {HIGH} SELECT session, CAST(max(n) AS VARCHAR) AS last_client_seq, max(seq) AS last_seq FROM high GROUP BY session ORDER BY last_seq DESC LIMIT 64")
+def session_table_high(spark, d):
+    """O-33 where client numbers pass 2^63."""
+    table = views.session_table(fx.high(fx.log(spark, d)), 64)
+    return table.select("session", unsigned_text(F.col("last_client_seq")).alias("last_client_seq"), "last_seq")
+
+
 @query(f"WITH {GAPS} SELECT session, count(*) AS lost FROM (SELECT *, {MARKS} AS mark FROM requests) WHERE client_seq <= mark GROUP BY session")
 def admit_gap_loss(spark, d):
     """O-26: writes acknowledged and lost because a later number came first."""
@@ -181,6 +201,13 @@ def admit_status(spark, d):
     return admit.admit(fx.mixed_requests(spark, d), F.col("leader"), F.col("replicas")).select("arrival", "status")
 
 
+@query(f"WITH {STATUS} SELECT arrival, CASE WHEN status = 5 THEN '203.0.113.7:4100' ELSE '' END AS text FROM status WHERE status > 0")
+def refusal_texts(spark, d):
+    """O-66: a follower's refusal names the leader."""
+    told = admit.admit(fx.mixed_requests(spark, d), F.col("leader"), F.col("replicas")).where("status > 0")
+    return told.select("arrival", admit.refusal_text(F.col("status"), "203.0.113.7:4100").alias("text"))
+
+
 @query(f"WITH {MIXED} SELECT arrival, CASE WHEN flags & 1 = 0 THEN 'none' WHEN flags & 4 = 0 THEN 'local' WHEN replicas > 0 THEN 'wait' WHEN flags & 8 <> 0 THEN 'degraded' ELSE 'no_replicas' END AS route FROM mixed")
 def ack_route(spark, d):
     """O-29."""
@@ -287,10 +314,15 @@ def session_marks_rise(spark, d):
     return views.marks_rise(fx.log(spark, d))
 
 
-@query()
+EVICTIONS = LOG + """, a AS (SELECT seq, session, lag(seq) OVER w AS p, lead(seq) OVER w AS n FROM log WHERE session <> 0 WINDOW w AS (PARTITION BY session ORDER BY seq)),
+others AS (SELECT a.seq, count(b.seq) AS seen FROM a LEFT JOIN a b ON b.seq > a.p AND b.seq < a.seq AND (b.n IS NULL OR b.n > a.seq) WHERE a.p IS NOT NULL GROUP BY a.seq),
+lru AS (SELECT greatest((SELECT count(DISTINCT session) FROM a) + (SELECT count(*) FROM others WHERE seen >= 64) - 64, 0) AS evicted, least((SELECT count(DISTINCT session) FROM a), 64) AS held)"""
+
+
+@query(f"WITH {EVICTIONS} SELECT evicted, held FROM lru")
 def session_evictions(spark, d):
     """O-34: evictions of a table of 64 sessions."""
-    return views.evictions(fx.log(spark, d), 64)
+    return views.evictions(fx.log(spark, d), 64, width=1000)
 
 
 @query(f"""WITH {SEGMENTS}, k AS (SELECT partition_key, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS records FROM log GROUP BY 1)
@@ -448,12 +480,14 @@ def quorum_ack(spark, d):
     return repl.quorum(rows.select("seq"), fx.peers(spark, d), read.bounds(rows)[1])
 
 
-@query(f"WITH {LOG} SELECT seq, CASE WHEN seq % 3 <> 0 THEN 'ack' WHEN seq % 2 = 0 THEN 'degraded' ELSE 'no_replicas' END AS outcome FROM log WHERE flags & 4 <> 0")
+@query(SQL["quorum_ack"].replace("SELECT seq, event FROM x", ", q AS (SELECT x.seq, event FROM x").replace("x.seq <= f.best", "x.seq <= f.best)") + " SELECT seq, CASE WHEN event <= seq + 6 THEN 'ack' WHEN seq % 2 = 0 THEN 'degraded' ELSE 'no_replicas' END AS outcome FROM q JOIN log USING (seq) WHERE flags & 4 <> 0")
 def degrade_or_refuse(spark, d):
-    """O-65 for replicated writes."""
+    """O-65 for replicated writes: whether the quorum of O-64 was there within six reports."""
     s = F.col("seq")
     flags = F.when(s % 2 == 0, F.col("flags").bitwiseOR(F.lit(8))).otherwise(F.col("flags"))
-    return fx.log(spark, d).where(F.col("flags").bitwiseAND(F.lit(4)) != 0).select("seq", repl.outcome(flags, s % 3 != 0).alias("outcome"))
+    waits = fx.log(spark, d).where(F.col("flags").bitwiseAND(F.lit(4)) != 0).select("seq", flags.alias("flags"))
+    done = quorum_ack(spark, d).select("seq", "event")
+    return waits.join(done, "seq").select("seq", repl.outcome(F.col("flags"), F.coalesce(F.col("event") <= s + 6, F.lit(False))).alias("outcome"))
 
 
 @query("WITH a AS (SELECT user_id % 2 AS slot, event_id AS attempt, CASE event_type WHEN 'error' THEN 11 WHEN 'purchase' THEN 9 ELSE 0 END AS code FROM events), b AS (SELECT *, lag(code) OVER (PARTITION BY slot ORDER BY attempt) AS before FROM a) SELECT slot, attempt, code FROM b WHERE code <> 0 AND (before IS NULL OR before <> code)")
@@ -524,11 +558,15 @@ def sessions_forgotten(spark, d):
 # -- metrics
 
 
-@query(f"""WITH {ACKS}, l AS (SELECT CASE WHEN flags & 4 <> 0 THEN 'replicated' WHEN flags & 2 <> 0 THEN 'sync' ELSE 'append' END AS label FROM acks), d AS (SELECT unnest(['append', 'sync', 'replicated']) AS label)
-SELECT 'acks_total' AS metric, d.label, count(l.label) AS value FROM d LEFT JOIN l ON d.label = l.label GROUP BY d.label UNION ALL SELECT 'acks_degraded_total', '', 0""")
+@query(f"""WITH {ACKS}, s AS (SELECT CASE WHEN flags & 4 <> 0 AND batch % 3 = 0 THEN (CASE WHEN batch % 2 = 0 THEN flags - (flags & 2) ELSE flags END) | 16 ELSE flags END AS flags FROM acks),
+l AS (SELECT flags, CASE WHEN flags & 4 <> 0 AND flags & 16 = 0 THEN 'replicated' WHEN flags & 2 <> 0 THEN 'sync' ELSE 'append' END AS label FROM s), d AS (SELECT unnest(['append', 'sync', 'replicated']) AS label)
+SELECT 'acks_total' AS metric, d.label, count(l.label) AS value FROM d LEFT JOIN l ON d.label = l.label GROUP BY d.label UNION ALL SELECT 'acks_degraded_total', '', count(*) FILTER (flags & 16 <> 0) FROM l""")
 def metrics_acks(spark, d):
-    """O-86."""
-    return metrics.acks(_acks(spark, d))
+    """O-86; of the replicated answers some were degraded, and of these some had no flush to wait for."""
+    flags, batch = F.col("flags"), F.col("batch")
+    given_up = (flags.bitwiseAND(F.lit(4)) != 0) & (batch % 3 == 0)
+    sent = F.when(given_up, F.when(batch % 2 == 0, flags - flags.bitwiseAND(F.lit(2))).otherwise(flags).bitwiseOR(F.lit(16))).otherwise(flags)
+    return metrics.acks(_acks(spark, d).withColumn("flags", sent))
 
 
 @query(f"""WITH {STATUS}, l AS (SELECT CASE status WHEN 5 THEN 'not_leader' WHEN 10 THEN 'no_replicas' WHEN 6 THEN 'behind' WHEN 11 THEN 'no_history' WHEN 12 THEN 'storage' ELSE 'other' END AS label FROM status WHERE status > 0),
@@ -547,12 +585,19 @@ def metrics_writes(spark, d):
 
 @query("""WITH d AS (SELECT * FROM (VALUES ('0.5', 0.5), ('1', 1.0), ('2', 2.0), ('5', 5.0), ('10', 10.0), ('20', 20.0), ('50', 50.0)) t(le, b))
 SELECT 'fsync_seconds_bucket' AS metric, le, count(*) FILTER (value <= b) AS value FROM d, events GROUP BY le, b
-UNION ALL SELECT 'fsync_seconds_bucket', '+Inf', count(value) FROM events UNION ALL SELECT 'fsync_seconds_count', '', count(value) FROM events""")
+UNION ALL SELECT 'fsync_seconds_bucket', '+Inf', count(value) FROM events UNION ALL SELECT 'fsync_seconds_count', '', count(value) FROM events
+UNION ALL SELECT 'fsync_seconds_sum', '', CAST(coalesce(sum(CAST(round(value * 1000000) AS BIGINT)), 0) AS BIGINT) FROM events""")
 def metrics_hist(spark, d):
     """O-89 with events.value as milliseconds."""
     return metrics.histogram(fx.table(spark, d, "events"), "value")
 
 
+@query(f"WITH {ACCEPTED} SELECT 'flushes_total' AS metric, '' AS label, count(DISTINCT floor((seq - 1) / 64.0)) AS value FROM accepted")
+def metrics_flushes(spark, d):
+    """O-89: flushes that made something durable."""
+    return metrics.flushes(group_commit(spark, d))
+
+
 @query(f"""WITH {SEGMENTS}, s AS (SELECT min(seq) AS a, max(seq) AS b, count(DISTINCT seg_base) AS n FROM segs)
 SELECT 'first_seq' AS metric, '' AS label, a AS value FROM s UNION ALL SELECT 'durable_seq', '', b FROM s UNION ALL SELECT 'next_seq', '', b + 1 FROM s UNION ALL SELECT 'segments', '', n FROM s
 UNION ALL SELECT 'segment_bytes', '', 36000 FROM s UNION ALL SELECT 'wal_bytes', '', n * 36000 FROM s""")
@@ -567,27 +612,42 @@ def metrics_role(spark, d):
     return metrics.role(spark, True)
 
 
-@query(f"""WITH {SEGMENTS}, {MARK.format(n=4)}, {NEXT}, f AS (SELECT max(durable) AS x FROM (SELECT greatest(seq - 9, 0) AS durable FROM log))
-SELECT 'retain_segments' AS metric, '' AS label, CAST(4 AS BIGINT) AS value UNION ALL SELECT 'replicas_expected', '', 2 UNION ALL SELECT 'retain_removed_total', '', (SELECT count(*) FROM nx, mk WHERE n <= keep_from) UNION ALL SELECT 'retain_errors_total', '', 0""")
+@query(f"""WITH {FLOOR}, p AS (SELECT event, floor, event // 500 % 3 AS removed, event // 500 % 4 = 3 AS failed FROM fl WHERE event % 500 = 0)
+SELECT 'retain_segments' AS metric, '' AS label, CAST(4 AS BIGINT) AS value UNION ALL SELECT 'replicas_expected', '', 2 UNION ALL SELECT 'retain_floor', '', CAST(coalesce(arg_max(floor, event), 0) AS BIGINT) FROM p
+UNION ALL SELECT 'retain_removed_total', '', CAST(coalesce(sum(removed), 0) AS BIGINT) FROM p UNION ALL SELECT 'retain_errors_total', '', count(*) FILTER (failed) FROM p""")
 def metrics_retain(spark, d):
-    """O-82: limits, and what a pass under the mark removes."""
-    rows = fx.segments(spark, d)
-    removed = retain.retain(rows, 4).agg(F.count("*").alias("n"))
-    fixed = {"retain_segments": F.lit(4), "replicas_expected": F.lit(2), "retain_removed_total": F.col("n"), "retain_errors_total": F.lit(0)}
-    return removed.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.lit("").alias("label"), v.cast("long").alias("value")) for k, v in fixed.items()])).alias("x")).select("x.*")
+    """O-82 over passes at every 500th report."""
+    turn = F.floor(F.col("event") / 500)
+    passes = retain.floor(fx.peers(spark, d), 2).where("event % 500 = 0").select("event", "floor", (turn % 3).alias("removed"), (turn % 4 == 3).alias("failed"))
+    return metrics.retention(passes, 4, 2)
 
 
-@query(f"WITH {LOG} SELECT 'sessions' AS metric, '' AS label, least(count(DISTINCT session), 1024) AS value FROM log")
+@query(f"WITH {EVICTIONS} SELECT 'sessions' AS metric, '' AS label, held AS value FROM lru UNION ALL SELECT 'sessions_evicted_total', '', evicted FROM lru")
 def metrics_sessions(spark, d):
-    """O-83: sessions held."""
-    return views.session_table(fx.log(spark, d)).agg(F.count("*").alias("value")).select(F.lit("sessions").alias("metric"), F.lit("").alias("label"), "value")
+    """O-83: sessions held and evicted by a table of 64."""
+    return metrics.sessions(session_evictions(spark, d))
 
 
-@query(f"""WITH {PEERS}, l AS (SELECT * FROM peers QUALIFY row_number() OVER (PARTITION BY slot ORDER BY event DESC) = 1)
-SELECT 'follower_live' AS metric, CAST(slot AS VARCHAR) AS label, CAST(live AS BIGINT) AS value FROM l UNION ALL SELECT 'follower_durable_seq', CAST(slot AS VARCHAR), CASE WHEN live THEN durable ELSE 0 END FROM l""")
+@query(f"""WITH {PEERS}, l AS (SELECT * FROM peers QUALIFY row_number() OVER (PARTITION BY slot ORDER BY event DESC) = 1), n AS (SELECT max(event) * 1000000 - 500000 AS now FROM peers)
+SELECT 'follower_live' AS metric, CAST(slot AS VARCHAR) AS label, CAST(live AS BIGINT) AS value FROM l UNION ALL SELECT 'follower_durable_seq', CAST(slot AS VARCHAR), CASE WHEN live THEN durable ELSE 0 END FROM l
+UNION ALL SELECT 'follower_ack_age_seconds', CAST(slot AS VARCHAR), CAST(greatest(now - event * 1000000, 0) AS BIGINT) FROM l, n""")
 def metrics_followers(spark, d):
-    """O-84."""
-    return metrics.followers(fx.peers(spark, d))
+    """O-84 of a leader, half a report before the last."""
+    peers = fx.peers(spark, d)
+    now = peers.agg(F.max("event")).first()[0] * 1_000_000 - 500_000
+    return metrics.followers(peers.withColumn("at", F.col("event") * 1_000_000), F.lit(now))
+
+
+@query(f"WITH {LOG} SELECT 'repl_records_total' AS metric, '' AS label, count(*) AS value FROM log")
+def metrics_sent(spark, d):
+    """O-84 of a leader: records in the frames that it sent."""
+    return metrics.sent(repl.frames(fx.log(spark, d)))
+
+
+@query(SQL["repl_apply"].replace("SELECT arrival, seq FROM", "SELECT 'repl_applied_total' AS metric, '' AS label, count(*) AS value FROM") + " UNION ALL SELECT 'leader_connected', '', 1")
+def metrics_following(spark, d):
+    """O-84 of a follower."""
+    return metrics.following(repl_apply(spark, d), True)
 
 
 @query(f"WITH {LOG} SELECT 'notified_total' AS metric, '' AS label, count(*) AS value FROM log WHERE partition_key = 3")
@@ -605,13 +665,13 @@ def seconds_format(spark, d):
 # -- segments and streams, through the shared folder
 
 
-def _shared(spark, label: str) -> str:
-    """A new folder where driver and executors both reach it."""
-    import tempfile
-    import uuid
+def _stored(spark, d) -> DataFrame:
+    """The canonical log's rows as the segment writer takes them."""
+    return _readable(spark, d).select(F.lit(0).cast("long").alias("crc"), "len", "term", "seq", "session", "client_seq", "record_type", "flags", "partition_key", F.encode("payload", "UTF-8").alias("payload"))
+
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='ledgerline-')}"
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+def _append(rows: DataFrame, path: str) -> None:
+    rows.repartitionByRange("seq").sortWithinPartitions("seq").write.format("seglog").option("capacity", 1 << 16).mode("append").save(path)
 
 
 def _written_log(spark, d) -> str:
@@ -619,16 +679,15 @@ def _written_log(spark, d) -> str:
     from ..sources import seglog
 
     seglog.register(spark)
-    path = _shared(spark, "seglog")
-    rows = _readable(spark, d).select(F.lit(0).cast("long").alias("crc"), "len", "term", "seq", "session", "client_seq", "record_type", "flags", "partition_key", F.encode("payload", "UTF-8").alias("payload"))
-    rows.repartitionByRange("seq").sortWithinPartitions("seq").write.format("seglog").option("capacity", 1 << 16).mode("append").save(path)
+    path = scratch_path(spark, "seglog")
+    _append(_stored(spark, d), path)
     return path
 
 
 def _drained(stream: DataFrame) -> DataFrame:
     """What a stream gives until its source is at its end, by a checkpointed file sink."""
     spark = stream.sparkSession
-    out = _shared(spark, "stream")
+    out = scratch_path(spark, "stream")
     q = stream.writeStream.format("parquet").option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start(out)
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
@@ -657,7 +716,7 @@ def dedup_stream(spark, d):
     """O-26, O-56 as a stream with a mark per session as state."""
     from ..streaming import log_streams
 
-    path = _shared(spark, "requests")
+    path = scratch_path(spark, "requests")
     rows = fx.requests(spark, d).select("arrival", "session", "client_seq")
     rows.write.parquet(path)
     stream = spark.readStream.schema(rows.schema).parquet(path)
@@ -670,18 +729,138 @@ def replica_stream(spark, d):
     from ..sources import seglog
     from ..streaming import log_streams
 
-    leader, replica = _written_log(spark, d), _shared(spark, "replica")
+    leader, replica = _written_log(spark, d), scratch_path(spark, "replica")
     stream = spark.readStream.format("seglog").option("fromSeq", 1).load(leader)
     q = stream.writeStream.foreachBatch(log_streams.apply_batches(replica, 1 << 16)).option("checkpointLocation", f"{replica}-checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return seglog.open_log(spark, replica).select("seq", "session", "client_seq")
 
 
+@query(SQL["log_view"])
+def torn_append(spark, d):
+    """O-20, O-11: a log whose last segment lost its end goes on after the last whole record."""
+    from ..sources import seglog
+
+    seglog.register(spark)
+    path, rows = scratch_path(spark, "torn"), _stored(spark, d)
+    _append(rows.where(F.col("seq") <= read.bounds(rows)[1] * 3 // 4), path)
+    _, last = seglog.segments(path)[-1]
+    data = seglog.load(path, last)
+    with seglog.file_system(path)[0].open_output_stream(last) as out:
+        out.write(data[:-10])
+    _append(rows.where(F.col("seq") >= seglog.next_seq(path)), path)
+    return seglog.open_log(spark, path).select("seq", "session", "client_seq", "partition_key", "flags", "len", "rec_size")
+
+
+@query(SQL["admit_dedup_high"])
+def dedup_stream_high(spark, d):
+    """O-26 as a stream where client numbers pass 2^63."""
+    from ..streaming import log_streams
+
+    path = scratch_path(spark, "requests")
+    rows = fx.high(fx.requests(spark, d)).select("arrival", "session", "client_seq")
+    rows.write.parquet(path)
+    got = _drained(log_streams.dedup_stream(spark.readStream.schema(rows.schema).parquet(path)))
+    return got.withColumn("client_seq", unsigned_text(F.col("client_seq")))
+
+
+def _admitted(spark, d) -> tuple[str, str]:
+    """Paths of the log and of the answers of mixed requests that came in two batches."""
+    from ..sources import seglog
+    from ..streaming import log_streams
+
+    seglog.register(spark)
+    source, path, answers = (scratch_path(spark, x) for x in ("mixed", "admitted", "answers"))
+    rows = fx.mixed_requests(spark, d).withColumns({"partition_key": F.lit(1).cast("long"), "record_type": F.lit(0), "payload": F.encode(F.lit("x"), "UTF-8")})
+    middle = rows.agg(F.max("arrival")).first()[0] // 2
+    for part in (rows.where(F.col("arrival") <= middle), rows.where(F.col("arrival") > middle)):
+        part.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    told = log_streams.admission_stream(stream, F.col("leader"), F.col("replicas"))
+    q = told.writeStream.foreachBatch(log_streams.append_batches(path, answers, 1 << 16)).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return path, answers
+
+
+@query(SQL["admit_status"])
+def admission_stream(spark, d):
+    """O-25, O-26 as a stream with state, in the order of checks; a record that is too large is refused and the stream goes on."""
+    return spark.read.parquet(_admitted(spark, d)[1]).select("arrival", "status")
+
+
+@query(f"WITH {STATUS} SELECT CAST(row_number() OVER (ORDER BY arrival) AS BIGINT) AS seq, session FROM status WHERE status = 0")
+def admission_stream_log(spark, d):
+    """O-21, O-27 as a stream: the log after it."""
+    from ..sources import seglog
+
+    return seglog.open_log(spark, _admitted(spark, d)[0]).select("seq", "session")
+
+
+@query(f"WITH {LOG}, m AS (SELECT CAST(ceil(max(seq) / 4.0) AS BIGINT) AS most FROM log) SELECT seq, (seq - 1) // most AS batch FROM log, m")
+def subscribe_bounded(spark, d):
+    """O-53: a reader takes a bounded batch at a time and leaves the rest in the log."""
+    from ..streaming import log_streams
+
+    path, out = _written_log(spark, d), scratch_path(spark, "bounded")
+    most = -(-read.bounds(fx.log(spark, d))[1] // 4)
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.select("seq", F.lit(n).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{out}/n={n}")
+
+    q = log_streams.subscribe(spark, path, 1, most=most, progress=f"{out}-progress").writeStream.foreachBatch(keep).option("checkpointLocation", f"{out}-checkpoint").start()
+    q.processAllAvailable()
+    q.stop()
+    return spark.read.parquet(out).select("seq", "batch")
+
+
+@query(f"WITH {LOG} SELECT seq, CASE WHEN seq % 5 <> 0 AND seq % 7 * 300 <= 1000 THEN 'ack' WHEN seq % 2 = 0 THEN 'degraded' ELSE 'no_replicas' END AS outcome FROM log WHERE flags & 4 <> 0")
+def deadlines(spark, d):
+    """O-58, O-65 as a stream: a timer for each replicated write, of a second; every fifth never gets its second copy."""
+    from ..streaming import log_streams
+
+    path, s = scratch_path(spark, "waits"), F.col("seq")
+    rows = fx.log(spark, d).where(F.col("flags").bitwiseAND(F.lit(4)) != 0)
+    flags = F.when(s % 2 == 0, F.col("flags").bitwiseOR(F.lit(8))).otherwise(F.col("flags"))
+    writes = rows.select("seq", F.timestamp_millis(s * 10).alias("at"), F.lit("write").alias("kind"), flags.alias("flags"))
+    copies = rows.where(s % 5 != 0).select("seq", F.timestamp_millis(s * 10 + s % 7 * 300).alias("at"), F.lit("durable").alias("kind"), F.lit(0).alias("flags"))
+    later = spark.range(1).select(F.lit(-1).cast("long").alias("seq"), F.timestamp_millis(F.lit(1 << 42)).alias("at"), F.lit("write").alias("kind"), F.lit(0).alias("flags"))
+    for part in (writes.unionByName(copies), later):  # what moves the clock comes last
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(writes.schema).option("maxFilesPerTrigger", 1).parquet(path).withWatermark("at", "0 seconds")
+    return _drained(log_streams.deadline_stream(stream, 1000))
+
+
+# -- wire
+
+
+@query("WITH f AS (SELECT event_id, event_id % 13 + 1 AS op, event_id % 3 <> 0 AS has_session FROM events) SELECT event_id, CAST(CASE WHEN op IN (5, 6, 7, 9) THEN 3 WHEN op = 3 THEN 9 WHEN op = 1 AND NOT has_session THEN 7 ELSE 0 END AS INT) AS status FROM f")
+def verb_statuses(spark, d):
+    """O-96, O-97: verbs that are refused before any handler looks at them."""
+    names = F.array(*[F.lit(name) for name in codec.OPS])
+    rows = fx.table(spark, d, "events").select("event_id", F.get(names, (F.col("event_id") % 13).cast("int")).alias("op"), (F.col("event_id") % 3 != 0).alias("has_session"))
+    return rows.select("event_id", wire.verb_status(F.col("op"), F.col("has_session")).alias("status"))
+
+
+@query("WITH p AS (SELECT event_id, event_id % 90 AS stated, event_id % 90 + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS held FROM events) SELECT event_id, stated <= 64 AND stated = held AS hello, stated <= 64 AND stated = held AS error, event_id % 4 = 0 AS ack, event_id % 4 = 1 AS subscribe FROM p")
+def payload_validity(spark, d):
+    """O-17: payloads whose tails or sizes are not as stated are refused."""
+    rows = fx.table(spark, d, "events").select("event_id")
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for e in batch.column("event_id").to_pylist():
+                stated, tail, fixed = e % 90, b"n" * (e % 90 + (e % 7 == 0)), bytes((8, 16, 7, 17)[e % 4])
+                hello, error = codec.HELLO.pack(e, stated, 0, 0) + tail, codec.ERR.pack(5, stated, 0) + tail
+                out.append((e, codec.parse_hello(hello) is not None, codec.parse_error(error) is not None, codec.parse_fixed(codec.ACK, fixed) is not None, codec.parse_fixed(codec.SUBSCRIBE, fixed) is not None))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["event_id", "hello", "error", "ack", "subscribe"])
+
+    return rows.mapInArrow(run, "event_id long, hello boolean, error boolean, ack boolean, subscribe boolean")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
-
-

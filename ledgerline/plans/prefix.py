@@ -24,19 +24,31 @@ def running(rows: DataFrame, by: Sequence[str], order: str, value: Column, name:
     ``order`` is a column of longs, distinct within a key.  Without
     ``inclusive`` the row itself is left out, and the first has null.
     """
+    return runnings(rows, by, order, {name: value}, how, inclusive, width)
+
+
+def runnings(rows: DataFrame, by: Sequence[str], order: str, values: dict[str, Column], how: str = "sum", inclusive: bool = True, width: int = WIDTH) -> DataFrame:
+    """As ``running``, several values in one pass."""
     step = {"sum": lambda a, b: F.coalesce(a + b, a, b), "max": F.greatest, "min": F.least}[how]
     agg = {"sum": F.sum, "max": F.max, "min": F.min}[how]
-    by = list(by)
-    keyed = rows.withColumn("__bucket", F.floor(F.col(order) / F.lit(width)).cast("long")).withColumn("__value", value)
-    totals = keyed.groupBy(*by, "__bucket").agg(agg("__value").alias("__total"))
+    by, names = list(by), list(values)
+    keyed = rows.withColumns({"__bucket": F.floor(F.col(order) / F.lit(width)).cast("long"), **{f"__value{k}": values[c] for k, c in enumerate(names)}})
+    totals = keyed.groupBy(*by, "__bucket").agg(*[agg(f"__value{k}").alias(f"__total{k}") for k in range(len(names))])
     earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.withColumn("__base", agg("__total").over(earlier)).select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__bucket").alias("__b"), "__base")
+    bases = [agg(f"__total{k}").over(earlier).alias(f"__base{k}") for k in range(len(names))]
+    base = totals.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__bucket").alias("__b"), *bases)
     same = F.col("__bucket") == F.col("__b")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
     inside = Window.partitionBy(*by, "__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    joined = keyed.join(base, same).withColumn(name, step(F.col("__base"), agg("__value").over(inside)))
-    return joined.select(*rows.columns, name)
+    joined = keyed.join(base, same).withColumns({c: step(F.col(f"__base{k}"), agg(f"__value{k}").over(inside)) for k, c in enumerate(names)})
+    return joined.select(*[c for c in rows.columns if c not in values], *names)
+
+
+def before(rows: DataFrame, by: Sequence[str], order: str, value: str, name: str, width: int = WIDTH) -> DataFrame:
+    """``rows`` and ``name``: what ``value`` was in the key's row before this one; null in the first."""
+    last = running(rows, by, order, F.struct(F.col(order).alias("o"), F.col(value).alias("v")), "__last", "max", inclusive=False, width=width)
+    return last.withColumn(name, F.col("__last.v")).drop("__last")
 
 
 def numbered(rows: DataFrame, order: str, name: str, start: int = 1, by: Sequence[str] = (), width: int = WIDTH) -> DataFrame:
