@@ -7,9 +7,6 @@ JVM ends; ``released`` drops what a finished block made at once.
 from __future__ import annotations
 
 import ctypes
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -18,40 +15,19 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shared as folder
+from ..shared import hadoop, shared_dir
+
 #: Parquet bytes of a table that may be broadcast; in memory it takes a few times that.
 BROADCAST_BYTES = 4 << 20
 
-_roots: set[str] = set()
 #: Scratch paths and broadcasts of the blocks of ``released`` that are open, innermost last.
 _open: list[tuple[list[str], list[Broadcast]]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset, one of our own on a single machine, an error on a cluster."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="ledgerline-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def hadoop(spark: SparkSession, path: str):
-    """(file system, path) of the JVM."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path below the application's scratch folder."""
-    root = f"{shared_dir(spark)}/ledgerline/{spark.sparkContext.applicationId}"
-    if root not in _roots:
-        fs, at = hadoop(spark, root)
-        fs.mkdirs(at)
-        fs.deleteOnExit(at)
-        _roots.add(root)
-    path = f"{root}/{label}-{uuid.uuid4().hex}"
+    path = folder.scratch_path(spark, label)
     if _open:
         _open[-1][0].append(path)
     return path

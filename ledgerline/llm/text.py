@@ -7,7 +7,8 @@ A-Z alone, so the Python operators work on bytes.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import xxhash
@@ -50,6 +51,84 @@ def words_of(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
 
 
+RUN_BYTES = 1 << 20
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+def text_runs(texts: Iterable[str | None], most: int = RUN_BYTES) -> Iterator[list[bytes]]:
+    """Texts as UTF-8 (null: empty), in runs of about ``most`` bytes; none is empty."""
+    held: list[bytes] = []
+    size = 0
+    for text in texts:
+        held.append(b"" if text is None else text.encode("utf-8", "surrogatepass"))
+        size += len(held[-1]) + 1
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+@dataclass
+class Words:
+    """The words of some texts: data[begin : end] of each, and where the words of each text start (and, last, how many there are)."""
+
+    data: bytes
+    begin: np.ndarray
+    end: np.ndarray
+    first: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Words:
+        data = b" ".join([b"", *texts, b""])
+        blank = _BLANK[np.frombuffer(data, np.uint8)]
+        edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1  # data starts and ends with a blank
+        begin = edges[::2]
+        at = np.cumsum([1, *(len(t) + 1 for t in texts)])
+        return cls(data, begin, edges[1::2], np.searchsorted(begin, at))
+
+    def split(self, values: np.ndarray) -> list[np.ndarray]:
+        """What ``values``, one a word, has for each text."""
+        return np.split(values, self.first[1:-1])
+
+    def hashes(self) -> np.ndarray:
+        """64-bit hashes of the words with A-Z lowered."""
+        return span_hashes(self.data.lower(), self.begin, self.end)
+
+
+#: Low bytes that a word of 0 to 8 bytes has in an integer.
+_LOW = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+
+
+def packed(data: bytes, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and second eight bytes of each span of ``data``, zeros behind its end."""
+    held = data + bytes(2 * 8)
+    at = np.ndarray((len(data) + 8 + 1,), "<u8", held, strides=(1,))  # the integer that starts at each byte
+    return at[begin] & _LOW[np.minimum(length, 8)], at[begin + np.minimum(length, 8)] & _LOW[np.clip(length - 8, 0, 8)]
+
+
+def mixed_bytes(lo: np.ndarray, hi: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """One 64-bit hash of the bytes and the length of each word of 16 bytes at most."""
+    return mixed(lo ^ mixed(hi + (length.astype(np.uint64) << np.uint64(56))))
+
+
+def span_hashes(data: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of ``data``, without a step a word but for those longer than 16 bytes."""
+    length = end - begin
+    out = mixed_bytes(*packed(data, begin, length), length)
+    for k in np.flatnonzero(length > 16).tolist():
+        out[k] = xxhash.xxh64_intdigest(data[begin[k] : end[k]], 42)
+    return out
+
+
+def hashed_runs(texts: Iterable[str | None], most: int = RUN_BYTES) -> Iterator[list[np.ndarray]]:
+    """64-bit hashes of the words (A-Z lowered) of each text, in runs of texts."""
+    for run in text_runs(texts, most):
+        words = Words.of(run)
+        yield words.split(words.hashes())
+
+
 class WordHashes(dict):
     """64-bit hashes of words, kept for those seen; ``of`` forgets them all beyond ``most`` words."""
 
