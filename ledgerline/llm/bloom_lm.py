@@ -1,20 +1,29 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-**Filter.**  Counts of the training documents' words and word pairs are
-quantised on a log scale, level = 1 + floor(log(count) / log(base)), and an
-n-gram is entered once for each level up to its own.  A count is read back by
-probing levels 1, 2, ... until one is missing, so a false hit can only raise
-it, and frequent n-grams, probed deepest, are least likely to be raised.  The
-filter is blocked: an n-gram's hash names its segment, so every segment is
-built whole by one task, from the counts that were exchanged by segment.
-
-**Probabilities.**  Probes give c(u, w), c(u), c(w) as the geometric middle
-of their level.  A word's probability mixes pair and word estimates by Witten
-and Bell's rule, and the word estimate is smoothed as the base score is:
-P(w | u) = (c(u, w) + T(u) P(w)) / (c(u) + T(u)), P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)).
-T(u), the different successors of u, follows a power law T = c(u) ** b; b is
-fitted so that the T of all words add up to the distinct pairs, from the
-number of words at each level.
+**Filter.**  Counts of the training documents' words, word pairs and word
+triples are quantised on a log scale, level = 1 + floor(log(count) / log(base)),
+and an n-gram is entered once for each level up to its own.  A count is read
+back by probing levels 1, 2, ... until one is missing, so a false hit can only
+raise it, and frequent n-grams, probed deepest, are least likely to be raised.
+Triples are entered from a count of ``LEAST_TRIPLE`` on: nearly all others
+stand in one text only.  The filter is blocked: an n-gram's hash names its
+segment, so every segment is built whole by one task, from the counts that
+were exchanged by segment.
+
+**Probabilities.**  Probes give counts c as the geometric middle of their
+level.  Each order is mixed with the one below by Witten and Bell's rule, and
+the lowest is smoothed as the base score is:
+
+    P(w)       = (c(w) + 0.5) / (N + 0.5 (V + 1))
+    P(w | u)   = (c(u, w) + T(u) P(w)) / (c(u) + T(u))
+    P(w | t u) = (c(t, u, w) + (r + T(t, u)) P(w | u)) / (c(t, u) + T(t, u))
+
+T, the different successors of a context, follows a power law T = c ** b; b
+is fitted for words and for pairs so that their T add up to the distinct pairs
+and triples, from the number of n-grams at each level.  r = min((1 - g) c(t, u),
+c(t, u) - c(t, u, w)), where g is the share of all triples that is entered:
+what the others weigh falls to the pair estimate.  A context that was never
+seen leaves the estimate below as it is.
 
 **Base score.**  Exact counts by 64-bit word hash.  The table of the V words
 of training goes to the workers if it has at most ``TABLE_WORDS`` words (12
@@ -23,24 +32,27 @@ hash, summed by document.
 
 Plan: every task of the counting scan merges what its documents hold and
 emits one packed row per segment, so a word in every document is one entry a
-task, and the exchange carries rows of many n-grams.  The reduce side sums
-segments; it returns their filter bits and, in a second column, their words'
-counts.  What is gathered grows with the distinct n-grams of the corpus.
-The filter has ``BITS_PER_ENTRY`` bits for each entry, whatever their number.
-Up to ``MOST_FILTER_BYTES``, the size that workers and driver can hold, it is
-gathered and broadcast.  A larger one is never in one place: documents are
-dealt into chunks of ``CHUNK_BYTES``, each chunk's distinct n-grams go to
-their segments, one segment's bits are made and probed at a time, and levels
-(with the words' exact counts) come back to the chunk.
+task, and the exchange carries rows of many n-grams.  There are at most
+``FAN`` segments a row can go to; a corpus that needs more segments exchanges
+twice, first by ranges of segments, whose rows are merged before they are
+split.  The reduce side sums segments; it returns their filter bits and, in a
+second column, their words' counts.  What is gathered grows with the distinct
+n-grams of the corpus.  The filter has ``BITS_PER_ENTRY`` bits for each entry,
+whatever their number.  Up to ``MOST_FILTER_BYTES``, the size that workers and
+driver can hold, it is gathered and broadcast.  A larger one is never in one
+place: documents are put together in chunks of ``CHUNK_BYTES``, each chunk's
+distinct n-grams go to their segments, one segment's bits are made and probed
+at a time, and levels (with the words' exact counts) come back to the chunk.
 
 Defined results: a null or empty text is the end token alone; repeated rows
 count and score each; a null id is the empty text to the fold; an empty
 training set leaves every count at 0 (N = V = 0), a score of log10(1) a
-token; only id and text are read.
+token; only id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
+import struct
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -50,36 +62,78 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
-from .text import WordHashes, fold_of, mixed, words_of
+from .storage import shared, written
+from .text import RUN_BYTES, col, fold_of, hashed_runs, mixed, tidy
 
 QUANT_BASE = 2.0
 BITS_PER_ENTRY = 8
 N_HASHES = 3
-MOST_FILTER_BYTES = 48 << 20
+LEAST_TRIPLE = 2
+MOST_FILTER_BYTES = 96 << 20
 TABLE_WORDS = 6_000_000
-#: Documents' bytes for each segment of the exchange.
-SEGMENT_BYTES = 8 << 20
+#: Documents' bytes for each segment of the exchange, and segments that one exchange tells apart.
+SEGMENT_BYTES = 4 << 20
+FAN = 8192
 #: Documents' bytes that are scored together where the filter is too large to broadcast.
 CHUNK_BYTES = 8 << 20
 MERGE_WORDS = 1 << 19
 #: Distinct n-grams that a counting task holds before it passes them on.
 HELD_ENTRIES = 3_000_000
-#: Tokens that are scored together.
-SCORED_TOKENS = 1 << 17
-#: Hashes of the end token, of the start of a text, and what tells a pair from a word.
+#: Hashes of the end token, of the start of a text, and what tells pairs and triples from words.
 END = np.uint64(0x9AE16A3B2F90404F)
 START = np.uint64(0xC3A5C85C97CB3127)
 PAIR = np.uint64(0xB492B66FBE98F273)
+TRIPLE = np.uint64(0xD6E8FEB86659FD93)
+KINDS = ("words", "pairs", "triples")
+#: Bytes of a kind's keys inside a segment, and what tells its probes from the others'.
+KEY_BYTES = {"words": 8, "pairs": 5, "triples": 5}
+_SALTS = {"words": np.uint64(0), "pairs": np.uint64(1 << 62), "triples": np.uint64(1 << 63)}
+_LOW32 = np.uint64((1 << 32) - 1)
 
 
 def pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mixed(mixed(u ^ PAIR) + w)
 
 
-def tokens_of(text: str | None, hashes: WordHashes) -> np.ndarray:
-    """Hashes of the words and of the end."""
-    return np.append(hashes.of(words_of(text)), END)
+def token_runs(texts: Iterable, most: int = RUN_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes of the words of each text with an end behind them, where each text starts) of runs of texts, given as Arrow's scalars."""
+    for rows in hashed_runs((t.as_py() for t in texts), most):
+        sizes = np.array([len(r) + 1 for r in rows])
+        upto = np.cumsum(sizes)
+        tokens = np.empty(upto[-1], np.uint64)
+        ends = np.zeros(upto[-1], bool)
+        ends[upto - 1] = True
+        tokens[ends], tokens[~ends] = END, np.concatenate(rows)
+        yield tokens, upto - sizes
+
+
+def predecessors(tokens: np.ndarray) -> np.ndarray:
+    """The token before each; the start after an end."""
+    u = np.append(START, tokens[:-1])
+    u[1:][tokens[:-1] == END] = START
+    return u
+
+
+@dataclass
+class Grams:
+    """Texts' tokens in a row, and the hashes of the pair and of the triple that end with each (a triple only behind a text's first token)."""
+
+    tokens: np.ndarray
+    pairs: np.ndarray
+    triples: np.ndarray
+    begins: np.ndarray
+
+    @classmethod
+    def of(cls, tokens: np.ndarray) -> Grams:
+        u = predecessors(tokens)
+        pairs = pair_hash(u, tokens)
+        triples = mixed(mixed(np.append(START, pairs[:-1]) ^ TRIPLE) + tokens)
+        return cls(tokens, pairs, triples, u == START)
+
+    def each(self) -> Iterator[tuple[str, np.ndarray]]:
+        yield "words", self.tokens
+        yield "pairs", self.pairs
+        yield "triples", self.triples[~self.begins]
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,8 +146,14 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first)
 
 
-def segment_of(keys: np.ndarray, n: int) -> np.ndarray:
-    return (keys >> np.uint64(40)) % np.uint64(n)
+def segment_of(hashes: np.ndarray, n: int) -> np.ndarray:
+    return (hashes >> np.uint64(40)) % np.uint64(n)
+
+
+def keys_in_segment(hashes: np.ndarray, kind: str) -> np.ndarray:
+    """What tells n-grams of a kind apart inside their segment: the low bytes of their hashes."""
+    width = KEY_BYTES[kind]
+    return hashes & np.uint64((1 << 8 * width) - 1) if width < 8 else hashes
 
 
 class Counter:
@@ -101,62 +161,105 @@ class Counter:
 
     def __init__(self) -> None:
         self.keys, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-        self.waiting: list[np.ndarray] = []
+        self.single: list[np.ndarray] = []
+        self.counted: list[tuple[np.ndarray, np.ndarray]] = []
         self.size = 0
 
-    def add(self, keys: np.ndarray) -> None:
-        self.waiting.append(keys)
+    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
+        if counts is None:
+            self.single.append(keys)
+        else:
+            self.counted.append((keys, counts))
         self.size += len(keys)
         if self.size > max(MERGE_WORDS, len(self.keys)):
             self.merge()
 
     def merge(self) -> None:
-        new, n = np.unique(np.concatenate(self.waiting), return_counts=True) if self.waiting else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        self.keys, self.counts = summed(np.concatenate([self.keys, new]), np.concatenate([self.counts, n]))
-        self.waiting, self.size = [], 0
+        if self.single:
+            self.counted.append(np.unique(np.concatenate(self.single), return_counts=True))
+        if self.counted:
+            self.keys, self.counts = summed(*(np.concatenate(x) for x in zip((self.keys, self.counts), *self.counted, strict=True)))
+        self.single, self.counted, self.size = [], [], 0
+
 
-    def packed(self, n_segments: int) -> dict[int, bytes]:
-        """Segment -> bytes: hashes (8 each), then counts (8 each)."""
-        self.merge()
-        segments = segment_of(self.keys, n_segments)
-        order = np.argsort(segments, kind="stable")
-        bounds = np.searchsorted(segments[order], np.arange(n_segments + 1, dtype=np.uint64))
-        keys, counts = self.keys[order], self.counts[order]
-        return {s: keys[a:b].tobytes() + counts[a:b].tobytes() for s, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if b > a}
+def pack(keys: np.ndarray, counts: np.ndarray, width: int) -> bytes:
+    """Numbers of entries and of counts above 255; keys of ``width`` bytes; counts of one byte; places and values of those above."""
+    above = np.flatnonzero(counts > 255)
+    low = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return struct.pack("<II", len(keys), len(above)) + low.tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes() + above.astype("<u4").tobytes() + counts[above].astype("<i8").tobytes()
 
 
-def unpack(blobs: Iterable[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    parts = [np.frombuffer(b, np.uint64) for b in blobs if b]
-    keys = np.concatenate([p[: len(p) // 2] for p in parts]) if parts else np.empty(0, np.uint64)
-    counts = np.concatenate([p[len(p) // 2 :] for p in parts]).view(np.int64) if parts else np.empty(0, np.int64)
-    return summed(keys, counts)
+def unpack(blob: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    n, above = struct.unpack_from("<II", blob)
+    at = 8 + n * width
+    raw = np.zeros((n, 8), np.uint8)
+    raw[:, :width] = np.frombuffer(blob, np.uint8, n * width, 8).reshape(n, width)
+    counts = np.frombuffer(blob, np.uint8, n, at).astype(np.int64)
+    counts[np.frombuffer(blob, "<u4", above, at + n)] = np.frombuffer(blob, "<i8", above, at + n + 4 * above)
+    return raw.view("<u8").ravel(), counts
+
+
+def merged(blobs: Iterable[bytes | None], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of all blobs, ascending, and the sums of their counts."""
+    parts = [unpack(b, width) for b in blobs if b]
+    return summed(*(np.concatenate(x) for x in zip(*parts, strict=True))) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+
+BLOBS = "words binary, pairs binary, triples binary"
+_BLOB_SCHEMA = pa.schema([("segment", pa.int64()), *[(kind, pa.binary()) for kind in KINDS]])
+
+
+def dealt(counters: dict[str, Counter], n: int, own: int | None = None, whole: bool = False) -> Iterator[pa.RecordBatch]:
+    """Packed counts by segment of ``n``, some segments a batch; with ``own``, ranges of that many segments instead; ``whole`` keeps all of a hash."""
+    parts: dict[str, dict[int, bytes]] = {}
+    for kind, counter in counters.items():
+        counter.merge()
+        to = segment_of(counter.keys, n) // np.uint64(own or 1)
+        order = np.argsort(to, kind="stable")
+        keys = counter.keys[order] if whole else keys_in_segment(counter.keys[order], kind)
+        counts, (names, first) = counter.counts[order], np.unique(to[order], return_index=True)
+        ends = [*first[1:].tolist(), len(order)][: len(first)]
+        parts[kind] = {s: pack(keys[a:b], counts[a:b], 8 if whole else KEY_BYTES[kind]) for s, a, b in zip(names.tolist(), first.tolist(), ends, strict=True)}
+    every = sorted(set().union(*parts.values()))
+    for k in range(0, len(every), 64):
+        yield pa.RecordBatch.from_pydict({"segment": every[k : k + 64], **{kind: [parts[kind].get(s) for s in every[k : k + 64]] for kind in KINDS}}, _BLOB_SCHEMA)
 
 
 def count_ngrams(docs: DataFrame, n_segments: int) -> DataFrame:
-    """segment, words, pairs (packed counts) of ``docs(text)``: a row per task and segment, or more in a large task.
+    """segment, words, pairs, triples (packed counts) of ``docs(text)``: a row per task and segment, or more in a large task.
 
     A task passes on what it holds beyond ``HELD_ENTRIES``, so its memory is bounded.
     """
+    own = -(-n_segments // FAN) if n_segments > FAN else None
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, words, pairs = WordHashes(), Counter(), Counter()
+    def counted(texts: Iterable, add, n: int, own: int | None, whole: bool) -> Iterator[pa.RecordBatch]:
+        counters = {kind: Counter() for kind in KINDS}
+        for x in texts:
+            add(counters, x)
+            if sum(len(c.keys) for c in counters.values()) > HELD_ENTRIES:
+                yield from dealt(counters, n, own, whole)
+                counters = {kind: Counter() for kind in KINDS}
+        yield from dealt(counters, n, own, whole)
 
-        def packed() -> Iterator[pa.RecordBatch]:
-            w, p = words.packed(n_segments), pairs.packed(n_segments)
-            for s in sorted(w.keys() | p.keys()):
-                yield pa.RecordBatch.from_pylist([{"segment": s, "words": w.get(s), "pairs": p.get(s)}], pa.schema([("segment", pa.int64()), ("words", pa.binary()), ("pairs", pa.binary())]))
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def add(counters: dict[str, Counter], run: tuple[np.ndarray, np.ndarray]) -> None:
+            for kind, grams in Grams.of(run[0]).each():
+                counters[kind].add(grams)
 
-        for batch in batches:
-            for text in batch.column("text"):
-                t = tokens_of(text.as_py(), hashes)
-                words.add(t)
-                pairs.add(pair_hash(np.append(START, t[:-1]), t))
-                if len(words.keys) + len(pairs.keys) > HELD_ENTRIES:
-                    yield from packed()
-                    words, pairs = Counter(), Counter()
-        yield from packed()
+        yield from counted(token_runs(t for b in batches for t in b.column("text")), add, n_segments, own, own is not None)
+
+    def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def add(counters: dict[str, Counter], row: dict) -> None:
+            for kind in KINDS:
+                if row[kind]:
+                    counters[kind].add(*unpack(row[kind], 8))
 
-    return docs.select("text").mapInArrow(run, "segment long, words binary, pairs binary")
+        yield from counted((r for b in batches for r in b.to_pylist()), add, n_segments, None, False)
+
+    rows = docs.select("text").mapInArrow(tidy(scan), f"segment long, {BLOBS}")
+    if own:  # ranges of segments in a few parts each, so that none is one task
+        rows = rows.repartition(F.col("segment"), (F.rand(3) * 16).cast("int")).mapInArrow(tidy(split), f"segment long, {BLOBS}")
+    return rows
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -164,28 +267,50 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(counts) / np.log(QUANT_BASE) + 1e-9).astype(np.int64)
 
 
-def positions(keys: np.ndarray, level, bits: int) -> list[np.ndarray]:
-    """The ``N_HASHES`` bits, inside a segment of ``bits`` bits, of (n-gram, level)."""
-    h = mixed(keys + np.uint64(0x9E3779B97F4A7C15) * np.asarray(level, np.uint64))
-    step = (h >> np.uint64(32)) | np.uint64(1)
-    return [((h + step * np.uint64(k)) & np.uint64(0xFFFFFFFF)) % np.uint64(bits) for k in range(N_HASHES)]
+def middle(level):
+    """The count that stands for a level."""
+    return np.where(level > 1, QUANT_BASE ** (np.asarray(level) - 0.5), level)
+
+
+def _hashed(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """What the bits of (n-gram, level) follow from: a start and a step."""
+    h = mixed(keys + np.uint64(0x9E3779B97F4A7C15 * level & (1 << 64) - 1))
+    return h, (h >> np.uint64(32)) | np.uint64(1)
+
+
+def _bit(h: np.ndarray, step: np.ndarray, k: int, bits: int) -> np.ndarray:
+    """The k-th bit inside a segment of ``bits`` bits."""
+    return ((h + step * np.uint64(k)) & _LOW32) * np.uint64(bits) >> np.uint64(32)
 
 
-def segment_bits(keys: np.ndarray, counts: np.ndarray, bits: int) -> bytes:
+def segment_bits(grams: dict[str, tuple[np.ndarray, np.ndarray]], bits: int) -> bytes:
+    """The bits of one segment, of kind -> (keys, counts)."""
     out = np.zeros(bits, bool)
-    level = levels(counts)
-    for at in range(1, int(level.max(initial=0)) + 1):
-        own = keys[level >= at]
-        for p in positions(own, at, bits):
-            out[p] = True
+    for kind, (keys, counts) in grams.items():
+        level, salted = levels(counts), keys | _SALTS[kind]
+        for at in range(1, int(level.max(initial=0)) + 1):
+            h, step = _hashed(salted[level >= at], at)
+            for k in range(N_HASHES):
+                out[_bit(h, step, k, bits)] = True
     return np.packbits(out, bitorder="little").tobytes()
 
 
-def predecessors(tokens: np.ndarray) -> np.ndarray:
-    """The token before each; the start after an end."""
-    u = np.append(START, tokens[:-1])
-    u[1:][tokens[:-1] == END] = START
-    return u
+def probe(data: np.ndarray, base: np.ndarray | None, keys: np.ndarray, kind: str, bits: int) -> np.ndarray:
+    """Levels as probed in ``data``, whose segment for each key starts at bit ``base`` (None: 0); 0 if level 1 is missing."""
+    level = np.zeros(len(keys), np.uint8)
+    live, salted = np.arange(len(keys)), keys | _SALTS[kind]
+    for at in range(1, 64):
+        h, step = _hashed(salted[live], at)
+        for k in range(N_HASHES):  # a miss ends this n-gram; its other bits don't matter
+            where = _bit(h, step, k, bits)
+            if base is not None:
+                where = where + base[live]
+            on = np.flatnonzero(data[(where >> np.uint64(3)).view(np.int64)] >> (where & np.uint64(7)).astype(np.uint8) & np.uint8(1))
+            live, h, step = live[on], h[on], step[on]
+        if not len(live):
+            break
+        level[live] = at
+    return level
 
 
 @dataclass
@@ -195,42 +320,35 @@ class Filter:
     data: np.ndarray | None
     n_segments: int
     bits: int
-    tokens: int
-    words: int
-    pairs: int
-    exponent: float
+    tokens: int = 0
+    words: int = 0
+    entered: float = 0.0  # g
+    exponents: tuple[float, float] = (1.0, 1.0)
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
+    def counts(self, hashes: np.ndarray, kind: str = "words") -> np.ndarray:
         """Counts as probed, the geometric middle of their level; 0 if level 1 is missing."""
-        return middle(self.probed(keys))
-
-    def probed(self, keys: np.ndarray) -> np.ndarray:
-        """Levels as probed; 0 if level 1 is missing."""
-        level = np.zeros(len(keys), np.int64)
-        base = segment_of(keys, self.n_segments) * np.uint64(self.bits)
-        live = np.arange(len(keys))
-        for at in range(1, 64):
-            for p in positions(keys[live], at, self.bits):
-                where = base[live] + p
-                hit = self.data[(where >> np.uint64(3)).astype(np.int64)] >> (where & np.uint64(7)).astype(np.uint8) & np.uint8(1)
-                level[live[hit == 0]] = -at  # a miss ends this n-gram; the other bits of the level don't matter
-            live = live[level[live] == 0]
-            if not len(live):
-                break
-        return np.where(level < 0, -level - 1, 63)
+        base = segment_of(hashes, self.n_segments) * np.uint64(self.bits)
+        return middle(probe(self.data, base, keys_in_segment(hashes, kind), kind, self.bits).astype(np.int64))
 
     def log10_probability(self, tokens: np.ndarray) -> np.ndarray:
-        """log10 P of every token of one text, or of several in a row, after its predecessor."""
-        u = predecessors(tokens)
-        return self.estimates(u, self.counts(tokens), self.counts(pair_hash(u, tokens)), self.ends)
+        """log10 P of every token of one text, or of several in a row, after its predecessors."""
+        distinct, back = np.unique(tokens, return_inverse=True)
+        return self.log10_of(Grams.of(tokens), self.counts(distinct)[back])
+
+    def log10_of(self, grams: Grams, own: np.ndarray) -> np.ndarray:
+        return self.estimates(grams.begins, own, self.counts(grams.pairs, "pairs"), self.counts(grams.triples, "triples"), self.ends)
 
-    def estimates(self, u: np.ndarray, own: np.ndarray, pair: np.ndarray, ends: float) -> np.ndarray:
-        """log10 P from the counts of tokens, of their pairs with ``u``, and of ends."""
-        before = np.append(ends, own[:-1])
-        before[u == START] = ends
-        k = np.maximum(before, 1.0) ** self.exponent
+    def estimates(self, begins: np.ndarray, own: np.ndarray, pair: np.ndarray, triple: np.ndarray, ends: float) -> np.ndarray:
+        """log10 P from the counts of tokens, of the pairs and triples that end with them, and of ends."""
         word = (own + 0.5) / (self.tokens + 0.5 * (self.words + 1))
-        return np.log10((np.minimum(pair, np.maximum(before, pair.clip(max=1))) + k * word) / (before + k))
+        before = np.where(begins, ends, np.append(ends, own[:-1]))
+        successors = np.maximum(before, 1.0) ** self.exponents[0]
+        after_one = (np.minimum(pair, np.maximum(before, pair.clip(max=1))) + successors * word) / (before + successors)
+        context = np.where(begins, 0.0, np.append(0.0, pair[:-1]))
+        successors = np.where(context > 0, np.maximum(context, 1.0) ** self.exponents[1], 1.0)
+        triple = np.where(triple >= LEAST_TRIPLE, np.minimum(triple, context), 0.0)
+        rest = np.minimum((1 - self.entered) * context, context - triple)
+        return np.log10((triple + (rest + successors) * after_one) / (context + successors))
 
     @property
     def ends(self) -> float:
@@ -242,92 +360,106 @@ class Filter:
 
 @dataclass
 class Model:
-    """What training leaves: the filter, and the exact table of words by segment."""
+    """What training leaves: the filter, and the exact counts by segment."""
 
     filter: Filter
-    table: DataFrame  # segment, words, pairs (packed)
+    table: DataFrame  # segment, words, pairs, triples (packed)
+
+
+TOTALS = ("tokens", "n_words", "n_pairs", "n_triples", "all_triples", "kept_triples", "entries")
+SEGMENT_SCHEMA = f"segment long, {BLOBS}, " + ", ".join(f"{c} long" for c in TOTALS) + ", word_levels array<long>, pair_levels array<long>"
+
+
+def _merge_segment(rows: pa.Table) -> pa.Table:
+    """One segment: the rows of all tasks summed, triples from ``LEAST_TRIPLE`` on kept."""
+    out, n = {"segment": rows.column("segment")[0].as_py()}, dict.fromkeys(TOTALS, 0)
+    for kind in KINDS:
+        keys, counts = merged((b.as_py() for b in rows.column(kind)), KEY_BYTES[kind])
+        n[f"n_{kind}"] = len(keys)
+        if kind == "triples":
+            n["all_triples"] = int(counts.sum())
+            keys, counts = keys[counts >= LEAST_TRIPLE], counts[counts >= LEAST_TRIPLE]
+            n["kept_triples"] = int(counts.sum())
+        level = levels(counts)
+        n["entries"] += int(level.sum())
+        if kind != "triples":
+            out[f"{kind[:-1]}_levels"] = np.bincount(level, minlength=64).tolist()
+        if kind == "words":
+            n["tokens"] = int(counts.sum())
+        out[kind] = pack(keys, counts, KEY_BYTES[kind])
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    return pa.Table.from_pylist([out | n], pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in SEGMENT_SCHEMA.split(", ")]))
+
+
+def grams_of(row: dict) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    return {kind: unpack(row[kind], KEY_BYTES[kind]) for kind in KINDS if row[kind]}
 
 
 def train(docs: DataFrame) -> Model:
     """Fit on ``docs(text)``."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_segments = int(min(MOST_FILTER_BYTES // 8, max(16, size // SEGMENT_BYTES)))  # a segment has a word of bits at least
-    raw = count_ngrams(docs, n_segments)
-    merged = written(raw.groupBy("segment").applyInArrow(_merge_segment, SEGMENT_SCHEMA), "ngrams")
-    n = merged.agg(*[F.sum(c).alias(c) for c in ("tokens", "n_words", "n_pairs", "entries")]).first()
-    total = max(1 << 16, BITS_PER_ENTRY * (n.entries or 0))
-    bits = -(-int(total) // (n_segments * 8)) * 8
+    n_segments = max(16, -(-size // SEGMENT_BYTES))
+    table = written(count_ngrams(docs, n_segments).groupBy("segment").applyInArrow(_merge_segment, SEGMENT_SCHEMA), "ngrams")
+    sums = table.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in TOTALS]).first()
+    total = max(1 << 16, BITS_PER_ENTRY * sums.entries)
+    bits = -(-total // (n_segments * 8)) * 8
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                made = segment_bits(*unpack([r["words"], r["pairs"]]), bits)
-                yield pa.RecordBatch.from_pydict({"segment": [r["segment"]], "bits": [made]}, pa.schema([("segment", pa.int64()), ("bits", pa.binary())]))
+                yield pa.RecordBatch.from_pydict({"segment": [r["segment"]], "bits": [segment_bits(grams_of(r), bits)]})
 
     data = None
     if total <= MOST_FILTER_BYTES * 8:
         data = np.zeros(n_segments * bits // 8, np.uint8)
-        made = merged.select("segment", "words", "pairs").mapInArrow(build, "segment long, bits binary")
-        for r in made.toLocalIterator():  # MOST_FILTER_BYTES, and a word a segment, at most
+        made = written(table.select("segment", *KINDS).mapInArrow(tidy(build), "segment long, bits binary"), "filter")
+        for r in made.toLocalIterator():  # MOST_FILTER_BYTES, and a byte a segment, at most
             at = r.segment * bits // 8
             data[at : at + bits // 8] = np.frombuffer(r.bits, np.uint8)
-    by_level = merged.select(F.posexplode("by_level").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect()
-    exponent = successor_exponent({r.k: r.n for r in by_level}, n.n_pairs or 0)
-    return Model(Filter(data, n_segments, bits, n.tokens or 0, n.n_words or 0, n.n_pairs or 0, exponent), merged.select("segment", "words", "pairs"))
-
-
-def middle(level):
-    """The count that stands for a level."""
-    return np.where(level > 1, QUANT_BASE ** (np.asarray(level) - 0.5), level)
+    exponents = []
+    for c, n in (("word_levels", sums.n_pairs), ("pair_levels", sums.n_triples)):
+        at = table.select(F.posexplode(c).alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).where("n > 0").collect()  # 64 rows
+        exponents.append(successor_exponent({r.k: r.n for r in at}, n))
+    fitted = Filter(data, n_segments, bits, sums.tokens, sums.n_words, sums.kept_triples / max(1, sums.all_triples), tuple(exponents))
+    return Model(fitted, table.select("segment", *KINDS))
 
 
-def successor_exponent(words_at: dict[int, int], pairs: int) -> float:
-    """b in [0, 1] such that the sum of count ** b over words, by level, is ``pairs``."""
+def successor_exponent(at: dict[int, int], successors: int) -> float:
+    """b in [0, 1] such that the sum of count ** b over n-grams, of which ``at`` has the number at each level, is ``successors``."""
     low, high = 0.0, 1.0
     for _ in range(40):
         b = (low + high) / 2
-        if sum(n * float(middle(k)) ** b for k, n in words_at.items() if k) < pairs:
+        if sum(n * float(middle(k)) ** b for k, n in at.items() if k) < successors:
             low = b
         else:
             high = b
     return low
 
 
-SEGMENT_SCHEMA = "segment long, words binary, pairs binary, tokens long, n_words long, n_pairs long, entries long, by_level array<long>"
-
-
-def _merge_segment(rows: pa.Table) -> pa.Table:
-    """One segment: the rows of all tasks summed."""
-    out = {"segment": rows.column("segment")[:1]}
-    entries = 0
-    for c in ("words", "pairs"):
-        keys, counts = unpack(b.as_py() for b in rows.column(c))
-        out[c] = pa.array([keys.tobytes() + counts.tobytes()], pa.binary())
-        out[f"n_{c}"] = pa.array([len(keys)])
-        entries += int(levels(counts).sum())
-        if c == "words":
-            out["tokens"] = pa.array([int(counts.sum())])
-            out["by_level"] = pa.array([np.bincount(levels(counts), minlength=64).tolist()], pa.list_(pa.int64()))
-    out["entries"] = pa.array([entries])
-    return pa.table({f.split()[0]: out[f.split()[0]] for f in SEGMENT_SCHEMA.split(", ")})
-
-
 def word_table(model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, ascending, and counts of all words; only for a table of checked size."""
-    parts = [unpack([r.words]) for r in model.table.select("words").toLocalIterator()]
+    parts = [unpack(r.words, 8) for r in model.table.select("words").toLocalIterator()]
     keys, counts = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0, t) for k, t in ((0, np.uint64), (1, np.int64)))
     order = np.argsort(keys)
     counts = counts[order]
     return keys[order], counts.astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.int64)
 
 
+def looked_up(keys: np.ndarray, counts: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Counts of ``asked`` by the table (keys ascending), 0 for those it lacks."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return np.where(keys[at] == asked, counts[at], 0).astype(np.int64)
+
+
 def base_term(counts: np.ndarray, tokens: int, words: int) -> np.ndarray:
     return np.log10((counts + 0.5) / (tokens + 0.5 * (words + 1)))
 
 
 def score(docs: DataFrame, model: Model, table_words: int = TABLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score of every row of ``docs``."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"))
     if model.filter.data is None:
         return _score_by_segment(rows, model)
     if model.filter.words <= table_words:
@@ -335,70 +467,56 @@ def score(docs: DataFrame, model: Model, table_words: int = TABLE_WORDS, id_col:
     return _score_by_join(rows, model)
 
 
-def _scores(batch: pa.RecordBatch, fitted: Filter, hashes: WordHashes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(tokens, first token of each text, log10 P) of runs of the batch's texts."""
-    held: list[np.ndarray] = []
-    size = 0
-    texts = batch.column("text")
-    for k in range(batch.num_rows):
-        held.append(tokens_of(texts[k].as_py(), hashes))
-        size += len(held[-1])
-        if size > SCORED_TOKENS or k == batch.num_rows - 1:
-            tokens = np.concatenate(held)
-            yield tokens, np.cumsum([0, *map(len, held[:-1])]), fitted.log10_probability(tokens)
-            held, size = [], 0
+SCORES = "n_tokens long, n_known long, base_score double, score double"
+
+
+def _sums(first: np.ndarray, counts: np.ndarray, p: np.ndarray, f: Filter) -> tuple[np.ndarray, ...]:
+    """The columns of ``SCORES`` of each text, from its tokens' exact counts and log10 P."""
+    added = [np.add.reduceat(x, first) for x in ((counts > 0).astype(np.int64), base_term(counts, f.tokens, f.words), p)]
+    return np.diff(np.append(first, len(p))), *added
 
 
 def _score_with_table(rows: DataFrame, model: Model) -> DataFrame:
-    context = rows.sparkSession.sparkContext
-    fitted, table = context.broadcast(model.filter), context.broadcast(word_table(model))
+    spark = rows.sparkSession
+    fitted, table = shared(spark, model.filter), shared(spark, word_table(model))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, f = WordHashes(), fitted.value
-        keys, counts = table.value
+        f = fitted.value
         for batch in batches:
-            out: dict[str, list] = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
-            for tokens, first, p in _scores(batch, f, hashes):
-                c = np.zeros(len(tokens), np.int64)
-                if len(keys):
-                    distinct, back = np.unique(tokens, return_inverse=True)
-                    at = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
-                    c = np.where(keys[at] == distinct, counts[at], 0).astype(np.int64)[back]
-                out["n_tokens"].append(np.diff(np.append(first, len(tokens))))
-                out["n_known"].append(np.add.reduceat((c > 0).astype(np.int64), first))
-                out["base_score"].append(np.add.reduceat(base_term(c, f.tokens, f.words), first))
-                out["score"].append(np.add.reduceat(p, first))
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.concatenate(v)) for v in out.values())], ["doc_id", *out])
-
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long, n_known long, base_score double, score double")
+            out = []
+            for tokens, first in token_runs(batch.column("text")):
+                distinct, back = np.unique(tokens, return_inverse=True)
+                p = f.log10_of(Grams.of(tokens), f.counts(distinct)[back])
+                out.append(_sums(first, looked_up(*table.value, distinct)[back], p, f))
+            if out:
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.concatenate(x)) for x in zip(*out, strict=True))], ["doc_id", *(c.split()[0] for c in SCORES.split(", "))])
+
+    return rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, {SCORES}")
 
 
 def _score_by_join(rows: DataFrame, model: Model) -> DataFrame:
     """As above for a table of any size: a document's distinct words meet the table by hash."""
-    context = rows.sparkSession.sparkContext
-    fitted = context.broadcast(model.filter)
+    fitted = shared(rows.sparkSession, model.filter)
     kind = dict(rows.dtypes)["doc_id"]
     scored = written(rows.withColumn("row", F.concat_ws(":", F.monotonically_increasing_id(), F.uuid())), "numbered")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             found = []
-            for tokens, first, p in _scores(batch, fitted.value, hashes):
-                totals = np.add.reduceat(p, first)
+            for tokens, first in token_runs(batch.column("text")):
+                totals = np.add.reduceat(fitted.value.log10_probability(tokens), first)
                 found += [(np.unique(t, return_counts=True), s) for t, s in zip(np.split(tokens, first[1:]), totals.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("row"), pa.array([int(n.sum()) for (_, n), _ in found], pa.int64()), pa.array([s for _, s in found], pa.float64()), pa.array([k.view(np.int64) for (k, _), _ in found], pa.list_(pa.int64())), pa.array([n for (_, n), _ in found], pa.list_(pa.int64()))],
                 ["doc_id", "row", "n_tokens", "score", "words", "times"],
             )
 
-    docs = written(scored.mapInArrow(run, f"doc_id {kind}, row string, n_tokens long, score double, words array<long>, times array<long>"), "scored")
+    docs = written(scored.mapInArrow(tidy(run), f"doc_id {kind}, row string, n_tokens long, score double, words array<long>, times array<long>"), "scored")
 
     def flat(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob in batch.column("words"):
-                keys, counts = unpack([blob.as_py()])
+                keys, counts = unpack(blob.as_py(), 8)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["word", "c"])
 
     table = model.table.select("words").mapInArrow(flat, "word long, c long")
@@ -409,96 +527,102 @@ def _score_by_join(rows: DataFrame, model: Model) -> DataFrame:
     return docs.join(sums, "row").select("doc_id", "n_tokens", "n_known", "base_score", "score")
 
 
-def _dealt(keys: np.ndarray, n_segments: int) -> tuple[np.ndarray, dict[int, bytes]]:
-    """The order of ``keys`` (ascending) by segment, and segment -> its keys, packed."""
-    segments = segment_of(keys, n_segments)
+def _by_segment(hashes: np.ndarray, n_segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of ``hashes`` (ascending) by segment, the segments that have any, and their first places in that order."""
+    segments = segment_of(hashes, n_segments)
     order = np.argsort(segments, kind="stable")
-    own, first = np.unique(segments[order], return_index=True)
-    return order, {s: k.tobytes() for s, k in zip(own.tolist(), np.split(keys[order], first[1:]), strict=True)}
-
-
-def _chunk_ngrams(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, first token of each text, predecessors, pairs) of a chunk."""
-    hashes = WordHashes()
-    held = [tokens_of(t.as_py(), hashes) for t in texts]
-    tokens = np.concatenate(held)
-    u = predecessors(tokens)
-    return tokens, np.cumsum([0, *map(len, held[:-1])]), u, pair_hash(u, tokens)
+    return order, *np.unique(segments[order], return_index=True)
 
 
 def _score_by_segment(rows: DataFrame, model: Model) -> DataFrame:
     """As above for a filter of any size: n-grams go to their segments, levels and exact counts of words come back."""
-    kind = dict(rows.dtypes)["doc_id"]
+    id_type = rows.schema["doc_id"].dataType
     f = model.filter
     n_segments, bits = f.n_segments, f.bits
 
-    def chunked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, k, size = uuid.uuid4().hex, 0, 0
+    def together(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row a chunk, so that a chunk is never in two tasks."""
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def chunk() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            lists = [pa.ListArray.from_arrays(pa.array([0, table.num_rows], pa.int32()), table.column(c).combine_chunks()) for c in ("doc_id", "text")]
+            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *lists], ["chunk", "ids", "texts"])
+
         for batch in batches:
-            names = []
-            for text in batch.column("text"):
-                names.append(f"{own}:{k}")
+            a = 0
+            for k, text in enumerate(batch.column("text")):
                 size += text.as_buffer().size if text.is_valid else 0
+                if size >= CHUNK_BYTES or k == batch.num_rows - 1:
+                    held.append(batch.slice(a, k + 1 - a))
+                    a = k + 1
                 if size >= CHUNK_BYTES:
-                    k, size = k + 1, 0
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string())], ["doc_id", "text", "chunk"])
+                    yield chunk()
+                    held, size = [], 0
+        if held:
+            yield chunk()
 
-    def ask(docs: pa.Table) -> pa.Table:
-        tokens, _, _, pairs = _chunk_ngrams(docs.column("text"))
-        words, pairs = (_dealt(np.unique(x), n_segments)[1] for x in (tokens, pairs))
-        at = sorted(words.keys() | pairs.keys())
-        return pa.table({"segment": pa.array(at, pa.int64()), "chunk": pa.array([docs.column("chunk")[0].as_py()] * len(at), pa.string()), "words": pa.array([words.get(s) for s in at], pa.binary()), "pairs": pa.array([pairs.get(s) for s in at], pa.binary())})
+    def ngrams(texts: Iterable) -> tuple[Grams, np.ndarray]:
+        (tokens, first), = token_runs(texts, 1 << 62)
+        return Grams.of(tokens), first
 
-    def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for words, pairs, segment in zip(batch.column("words"), batch.column("pairs"), batch.column("segment"), strict=True):
-                made = segment_bits(*unpack([words.as_py(), pairs.as_py()]), bits)
-                yield pa.RecordBatch.from_pydict({"segment": [segment.as_py()], "words": [words.as_py()], "bits": [made]}, pa.schema([("segment", pa.int64()), ("words", pa.binary()), ("bits", pa.binary())]))
+            for chunk, texts in zip(batch.column("chunk").to_pylist(), batch.column("texts"), strict=True):
+                parts: dict[str, dict[int, bytes]] = {}
+                for kind, hashes in ngrams(texts.values)[0].each():
+                    hashes = np.unique(hashes)
+                    order, names, first = _by_segment(hashes, n_segments)
+                    keys = keys_in_segment(hashes[order], kind).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEY_BYTES[kind]]
+                    parts[kind] = {s: x.tobytes() for s, x in zip(names.tolist(), np.split(keys, first[1:]), strict=True)}
+                every = sorted(set().union(*parts.values()))
+                yield pa.RecordBatch.from_pydict({"segment": every, "chunk": [chunk] * len(every), **{kind: [parts[kind].get(s) for s in every] for kind in KINDS}}, pa.schema([("segment", pa.int64()), ("chunk", pa.string()), *[(kind, pa.binary()) for kind in KINDS]]))
 
     def answer(asked: pa.Table, counted: pa.Table) -> pa.Table:
-        known, counts = unpack(b.as_py() for b in counted.column("words"))
-        made = counted.column("bits")[0].as_py() if counted.num_rows else bytes(bits // 8)
-        segment = Filter(np.frombuffer(made, np.uint8), 1, bits, 0, 0, 0, 0.0)
-        out: dict[str, list] = {"words": [], "pairs": [], "counts": []}
-        for c in ("words", "pairs"):
-            for blob in asked.column(c):
-                keys = np.frombuffer(blob.as_py() or b"", np.uint64)
-                out[c].append(segment.probed(keys).astype(np.uint8).tobytes())
-                if c == "words":
-                    exact = np.zeros(len(keys), np.int64)
-                    if len(known):
-                        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                        exact = np.where(known[at] == keys, counts[at], 0)
-                    out["counts"].append(exact.tobytes())
+        grams = grams_of(counted.to_pylist()[0]) if counted.num_rows else {}
+        data = np.frombuffer(segment_bits(grams, bits), np.uint8)
+        out: dict[str, list] = {**{kind: [] for kind in KINDS}, "counts": []}
+        for kind in KINDS:
+            width = KEY_BYTES[kind]
+            for blob in asked.column(kind):
+                raw = np.frombuffer(blob.as_py() or b"", np.uint8).reshape(-1, width)
+                keys = np.zeros((len(raw), 8), np.uint8)
+                keys[:, :width] = raw
+                keys = keys.view("<u8").ravel()
+                out[kind].append(probe(data, None, keys, kind, bits).tobytes())
+                if kind == "words":
+                    out["counts"].append(looked_up(*grams.get(kind, (keys[:0], np.empty(0, np.int64))), keys).tobytes())
         return pa.table({"chunk": asked.column("chunk"), "segment": asked.column("segment"), **{c: pa.array(v, pa.binary()) for c, v in out.items()}})
 
     def finish(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        tokens, first, u, pairs = _chunk_ngrams(docs.column("text"))
+        ids, texts = (docs.column(c)[0].values for c in ("ids", "texts"))
+        grams, first = ngrams(texts)
         answers = answers.sort_by("segment")
 
-        def returned(column: str, dtype: type, order: np.ndarray, back: np.ndarray) -> np.ndarray:
-            got = np.empty(len(order), dtype)
-            got[order] = np.frombuffer(b"".join(b.as_py() for b in answers.column(column)), dtype)
+        def returned(column: str, hashes: np.ndarray, dtype: type = np.uint8) -> np.ndarray:
+            keys, back = np.unique(hashes, return_inverse=True)
+            got = np.empty(len(keys), dtype)
+            got[_by_segment(keys, n_segments)[0]] = np.frombuffer(b"".join(b.as_py() for b in answers.column(column)), dtype)
             return got[back]
 
-        keys, back = np.unique(tokens, return_inverse=True)
-        order = _dealt(keys, n_segments)[0]
-        own, c = middle(returned("words", np.uint8, order, back).astype(np.int64)), returned("counts", np.int64, order, back)
-        keys, back = np.unique(pairs, return_inverse=True)
-        pair = middle(returned("pairs", np.uint8, _dealt(keys, n_segments)[0], back).astype(np.int64))
-        p = f.estimates(u, own, pair, float(own[tokens == END][0]))
-        sums = np.diff(np.append(first, len(tokens))), np.add.reduceat((c > 0).astype(np.int64), first), np.add.reduceat(base_term(c, f.tokens, f.words), first), np.add.reduceat(p, first)
-        return pa.table({"doc_id": docs.column("doc_id"), **{name: pa.array(v) for name, v in zip(("n_tokens", "n_known", "base_score", "score"), sums, strict=True)}})
+        own, pair = (middle(returned(kind, x).astype(np.int64)) for kind, x in (("words", grams.tokens), ("pairs", grams.pairs)))
+        triple = np.zeros(len(own))
+        triple[~grams.begins] = middle(returned("triples", grams.triples[~grams.begins]).astype(np.int64))
+        p = f.estimates(grams.begins, own, pair, triple, float(own[grams.tokens == END][0]))
+        sums = _sums(first, returned("counts", grams.tokens, np.int64), p, f)
+        return pa.table({"doc_id": ids, **{c.split()[0]: pa.array(x) for c, x in zip(SCORES.split(", "), sums, strict=True)}})
 
-    docs = written(rows.mapInArrow(chunked, f"doc_id {kind}, text string, chunk string"), "chunks")
-    asked = docs.groupBy("chunk").applyInArrow(ask, "segment long, chunk string, words binary, pairs binary")
-    answers = asked.groupBy("segment").cogroup(model.table.mapInArrow(build, "segment long, words binary, bits binary").groupBy("segment")).applyInArrow(answer, "chunk string, segment long, words binary, pairs binary, counts binary")
-    return docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    kind = id_type.simpleString()
+    chunks = written(rows.mapInArrow(tidy(together), f"chunk string, ids array<{kind}>, texts array<string>"), "chunks")
+    asked = chunks.select("chunk", "texts").mapInArrow(tidy(ask), f"segment long, chunk string, {BLOBS}")
+    answers = asked.groupBy("segment").cogroup(model.table.groupBy("segment")).applyInArrow(answer, f"chunk string, segment long, {BLOBS}, counts binary")
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, f"doc_id {kind}, {SCORES}")
 
 
 def lm_scores(docs: DataFrame, held_out_fold: int = 1, table_words: int = TABLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Train on all rows outside the fold and score every row."""
-    training = docs.where(fold_of(F.col(id_col)) != held_out_fold).select(F.col(text_col).cast("string").alias("text"))
+    training = docs.where(fold_of(col(id_col)) != held_out_fold).select(col(text_col).cast("string").alias("text"))
     model = train(training)
     out = score(docs, model, table_words, id_col, text_col)
     return out.select("doc_id", (fold_of(F.col("doc_id")) == held_out_fold).alias("held_out"), "n_tokens", "n_known", F.lit(model.filter.tokens).cast("long").alias("train_tokens"), "base_score", "score")
