@@ -48,7 +48,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fst_tokens import PART, cut, word_starts
-from .storage import scratch_path, written
+from .storage import scratch_path, shared, written
+from .text import col, mixed_bytes, packed
 
 BLOCK = 1024
 LANES, ROWS = 16, 64
@@ -57,8 +58,8 @@ MAGIC = b"LPFR"
 FOOTER = struct.Struct("<QQQQQ4s")
 HEAD = struct.Struct("<IBBH")
 GROUP = 256
-#: Places of the table of words and ids of each, and characters encoded together.
-SLOTS, MOST_IDS = 1 << 20, 12
+#: Places of the table of words, ids and bytes of each, and characters encoded together.
+SLOTS, MOST_IDS, SHORT = 1 << 20, 12, 16
 RUN_CHARACTERS = 1 << 21
 
 
@@ -210,11 +211,14 @@ class Reader:
             k = upto
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    """base ** k modulo 2 ** 64."""
-    steps = np.full(n, base, np.uint64)
-    steps[:1] = 1
-    return np.multiply.accumulate(steps)
+def distinct(lo: np.ndarray, hi: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each, a place of each different (lo, hi, length), which of them each is)."""
+    h = mixed_bytes(lo, hi, length)
+    _, one, back = np.unique(h, return_index=True, return_inverse=True)
+    first = one[back]
+    if not (np.array_equal(lo[first], lo) and np.array_equal(hi[first], hi) and np.array_equal(length[first], length)):  # two of one hash
+        _, one, back = np.unique(np.stack([lo, hi, length.astype(np.uint64)], axis=1), axis=0, return_index=True, return_inverse=True)
+    return h, one, back.ravel()
 
 
 class Encoder:
@@ -222,11 +226,10 @@ class Encoder:
 
     The byte-level pre-tokenizer's words, found by its transducer (see
     ``fst_tokens``), are encoded each on its own by the library, so equal
-    words may share one answer.  Words of a run are told apart by 128 bits of
-    hashes of their bytes: sums of random numbers by byte times powers by
-    place, two of them, from prefix sums.  Answers stay in a table of
-    ``SLOTS`` places in which a later word replaces an earlier one; should two
-    words of a run share the first 64 bits, the library gets the texts whole.
+    words may share one answer.  Words are told apart by all their bytes: up
+    to ``SHORT`` bytes are two integers and a length, longer words are keys of
+    a dictionary of their run.  Answers for short words stay in a table of
+    ``SLOTS`` places in which a later word replaces an earlier one.
     """
 
     def __init__(self, spec: str) -> None:
@@ -240,12 +243,8 @@ class Encoder:
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        rng = np.random.default_rng(5)
-        self.random = rng.integers(0, 1 << 64, (2, 256), np.uint64)
-        self.bases = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
-        self.power: list[np.ndarray] = []
-        self.key, self.check = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64)
-        self.size = np.zeros(SLOTS, np.uint8)
+        self.lo, self.hi = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64)
+        self.length, self.size = np.zeros(SLOTS, np.uint8), np.zeros(SLOTS, np.uint8)
         self.ids = np.zeros((SLOTS, MOST_IDS), np.uint32)
 
     def whole(self, text: str) -> np.ndarray:
@@ -278,19 +277,6 @@ class Encoder:
         starts[order] = np.cumsum(n) - n
         return gathered(ids, starts, sizes), sizes
 
-    def hashes(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
-        """Two 64-bit hashes of each span of ``data``."""
-        if not self.power or len(self.power[0]) < len(data) + 1:
-            n = 1 << (len(data) + 1).bit_length()
-            self.power = [_powers(x, n) for b in self.bases for x in (b, pow(b, -1, 1 << 64))]
-        out = []
-        for k in range(2):
-            up, down = self.power[2 * k], self.power[2 * k + 1]
-            total = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(self.random[k][data] * up[: len(data)], out=total[1:])
-            out.append((total[end] - total[begin]) * down[begin])
-        return out
-
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; long ones pass in pieces that end where a word does in any case."""
         if not self.by_word or any(len(t) > RUN_CHARACTERS for t in texts):
@@ -314,36 +300,44 @@ class Encoder:
         joined = PART.join([texts[k] for k in own]) + PART
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         raw = joined.encode("utf-8", "surrogatepass")
-        data = np.frombuffer(raw, np.uint8)
-        at = np.flatnonzero((data & 0xC0) != 0x80)
+        at = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
         first = np.flatnonzero(word_starts(codes))
-        begin, end = at[first], np.append(at[first[1:]], len(data))
+        begin, end = at[first], np.append(at[first[1:]], len(raw))
         part = codes[first] == ord(PART)
-        h, check = self.hashes(data, begin, end)
-        _, one, back = np.unique(h, return_index=True, return_inverse=True)
-        if not np.array_equal(check[one][back], check):
-            for k in own:
-                out[k] = self.whole(texts[k])
-            return out
-        slot = (h[one] >> np.uint64(20)).astype(np.int64) & (SLOTS - 1)
-        known = (self.key[slot] == h[one]) & (self.check[slot] == check[one]) & (self.size[slot] > 0)
-        new = np.flatnonzero(~known & ~part[one])
-        sizes = np.where(known, self.size[slot], 0).astype(np.int64)
-        table, starts = self.ids[slot].ravel(), np.arange(len(one)) * MOST_IDS
-        if len(new):
-            words = [raw[a:b].decode() for a, b in zip(begin[one[new]].tolist(), end[one[new]].tolist(), strict=True)]
-            ids, n = self.ask(words)
-            sizes[new], starts[new] = n, len(table) + np.cumsum(n) - n
-            fits = np.flatnonzero(n <= MOST_IDS)
-            to = slot[new[fits]]
-            last = np.unique(to[::-1], return_index=True)[1]  # of several for one slot, one
+        length = end - begin
+        short = np.flatnonzero(length <= SHORT)
+        size = length[short]
+        lo, hi = packed(raw, begin[short], size)
+        h, one, back_short = distinct(lo, hi, size)
+        lo, hi, size, h = lo[one], hi[one], size[one], h[one]
+        back = np.empty(len(begin), np.int64)
+        back[short] = back_short
+        place, longer = short[one], {}  # a place of each different word; those that are longer
+        for k in np.flatnonzero(length > SHORT).tolist():
+            word = raw[begin[k] : end[k]]
+            if word not in longer:
+                longer[word] = len(place) + len(longer)
+            back[k] = longer[word]
+        slot = (h >> np.uint64(20)).astype(np.int64) & (SLOTS - 1)
+        known = (self.lo[slot] == lo) & (self.hi[slot] == hi) & (self.length[slot] == size) & (self.size[slot] > 0)
+        new = np.flatnonzero(~known & ~part[place])
+        sizes = np.zeros(len(place) + len(longer), np.int64)
+        sizes[: len(place)] = np.where(known, self.size[slot], 0)
+        table, starts = self.ids[slot].ravel(), np.arange(len(sizes)) * MOST_IDS
+        if len(new) or longer:
+            words = [raw[a:b].decode() for a, b in zip(begin[place[new]].tolist(), end[place[new]].tolist(), strict=True)]
+            ids, n = self.ask(words + [w.decode() for w in longer])
+            asked = np.concatenate([new, np.arange(len(place), len(sizes))])
+            sizes[asked], starts[asked] = n, len(table) + np.cumsum(n) - n
+            fits = np.flatnonzero(n[: len(new)] <= MOST_IDS)
+            last = np.unique(slot[new[fits]][::-1], return_index=True)[1]  # of several for one slot, one
             keep = fits[len(fits) - 1 - last]
             to = slot[new[keep]]
-            self.key[to], self.check[to], self.size[to] = h[one[new[keep]]], check[one[new[keep]]], n[keep]
+            self.lo[to], self.hi[to], self.length[to], self.size[to] = lo[new[keep]], hi[new[keep]], size[new[keep]], n[keep]
             padded = np.concatenate([ids, np.zeros(MOST_IDS, np.uint32)])
             self.ids[to] = padded[(np.cumsum(n) - n)[keep][:, None] + np.arange(MOST_IDS)]
             table = np.concatenate([table, ids])
-        sizes[part[one]] = 0
+        sizes[: len(place)][part[place]] = 0
         n = sizes[back]
         ids = gathered(table, starts[back], n)
         upto = np.append(0, np.cumsum(n)[part])
@@ -391,7 +385,7 @@ def runs(names: pa.Array, texts: pa.Array, size: int = RUN_CHARACTERS) -> Iterat
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every row and write the files; file (its number, in id order), path, n_docs and n_ids of each."""
     with open(tokenizer_path, encoding="utf-8") as f:
-        spec = docs.sparkSession.sparkContext.broadcast(f.read())
+        spec = shared(docs.sparkSession, f.read())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -415,8 +409,10 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
             yield pa.RecordBatch.from_pylist([{"file": number, "path": f"{folder}/ids-{number:06d}.lpfr", "n_docs": len(writer.sizes), "n_ids": n_ids}])
 
     # the id is dealt and sorted in its own type and written as text
-    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    dealt = rows.repartitionByRange(F.col("key").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("key").asc_nulls_first(), F.xxhash64("text"))
+    rows = docs.select(col(id_col).alias("key"), col(text_col).cast("string").alias("text"))
+    # rows of one id and text are equal here: a salt lets them fall into several ranges
+    order = F.col("key").asc_nulls_first(), F.xxhash64("text"), F.col("salt")
+    dealt = rows.withColumn("salt", F.rand(7)).repartitionByRange(*order).sortWithinPartitions(*order)
     files = dealt.select(F.col("key").cast("string").alias("doc_id"), "text").mapInArrow(run, "file long, path string, n_docs long, n_ids long")
     return written(files, "token-files")
 
