@@ -31,18 +31,16 @@ have any name; an empty table gives no rows.
 from __future__ import annotations
 
 import pickle
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import shared, written
-from .text import col, fold_of, mapped_rows, tidy
+from .text import Words, col, fold_of, mapped_rows, span_hashes, text_runs, tidy
 
 WORD_TERMS, SHAPE_TERMS = 3072, 1020
 TERMS = WORD_TERMS + SHAPE_TERMS + 3
@@ -55,42 +53,37 @@ BLOCK_DOCS, BLOCK_LABELLED = 256, 4096
 #: Similarities are compared in steps of 1 / GRID: equal vectors must tie wherever they stand in a matrix.
 GRID = 1 << 20
 THRESHOLD = 0.3
-#: Words whose buckets a worker keeps.
-KEPT_WORDS = 200_000
-
-_SHAPE = ((re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[0-9]+"), b"9"))
-
-
-def shape(word: bytes) -> bytes:
-    """Runs of lower-case (or non-ASCII), upper-case and digits as one sign each; other signs as they are, 12 at most."""
-    for pattern, sign in _SHAPE:
-        word = pattern.sub(sign, word)
-    return word[:12]
-
-
-class Terms(dict):
-    """word -> its two buckets in one integer, kept for the words seen."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > KEPT_WORDS:
-            self.clear()
-        w = xxhash.xxh32_intdigest(word.lower(), 7) % WORD_TERMS
-        s = WORD_TERMS + xxhash.xxh32_intdigest(shape(word), 7) % SHAPE_TERMS
-        self[word] = out = w << 16 | s
-        return out
-
-    def of(self, text: str | None) -> np.ndarray:
-        """Buckets of all terms of a text, with repeats."""
-        raw = (text or "").encode("utf-8", "surrogatepass")
-        words = raw.split()
-        if not words:
-            return np.empty(0, np.int64)
-        both = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        lines = [x for x in raw.split(b"\n") if x.strip()]
-        repeats = int(np.count_nonzero(both[1:] == both[:-1]))
+#: What a byte is in a word's shape: a for a-z and non-ASCII, A for A-Z, 9 for digits, else itself.
+_SIGNS = np.arange(256, dtype=np.uint8)
+_SIGNS[np.r_[97:123, 128:256]], _SIGNS[65:91], _SIGNS[48:58] = 97, 65, 57
+_RUNS = np.isin(np.arange(256), [97, 65, 57])
+MOST_SHAPE = 12
+
+
+def shape_hashes(words: Words) -> np.ndarray:
+    """Hashes of the words' shapes: runs of one of the signs a, A, 9 as one; ``MOST_SHAPE`` signs at most."""
+    signs = _SIGNS[np.frombuffer(words.data, np.uint8)]
+    kept = np.append(True, ~_RUNS[signs[1:]] | (signs[1:] != signs[:-1]))  # a word's first byte follows a blank
+    at = np.append(0, np.cumsum(kept))
+    begin = at[words.begin]
+    return span_hashes(signs[kept].tobytes(), begin, np.minimum(at[words.end], begin + MOST_SHAPE))
+
+
+def terms_of(texts: list[bytes]) -> list[np.ndarray]:
+    """Buckets of all terms of each text, with repeats; none of a text without words."""
+    words = Words.of(texts)
+    bucket = words.hashes() % np.uint64(WORD_TERMS), np.uint64(WORD_TERMS) + shape_hashes(words) % np.uint64(SHAPE_TERMS)
+    same = np.append(False, (bucket[0][1:] == bucket[0][:-1]) & (bucket[1][1:] == bucket[1][:-1]))
+    out = []
+    for text, a, b in zip(texts, words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+        if a == b:
+            out.append(np.empty(0, np.int64))
+            continue
+        lines = [x for x in text.split(b"\n") if x.strip()]
         copies = len(lines) - len(set(lines))
-        structure = [np.full(n, t) for t, n in ((REPEAT, repeats), (DUPLICATE_LINE, copies * len(words) // len(lines)), (ANY, 1))]
-        return np.concatenate([both >> 16, both & 0xFFFF, *structure])
+        structure = [np.full(n, t) for t, n in ((REPEAT, int(np.count_nonzero(same[a + 1 : b]))), (DUPLICATE_LINE, copies * (b - a) // len(lines)), (ANY, 1))]
+        out.append(np.concatenate([*(x[a:b].astype(np.int64) for x in bucket), *structure]))
+    return out
 
 
 def term_matrix(rows: list[np.ndarray]) -> np.ndarray:
@@ -198,9 +191,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out_fol
     """Voters from the labelled rows: term counts on the workers, the fit (of ``most`` rows) in one task."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms()
         for batch in batches:
-            rows = [np.unique(terms.of(t.as_py()), return_counts=True) for t in batch.column("text")]
+            rows = [np.unique(r, return_counts=True) for run in text_runs(t.as_py() for t in batch.column("text")) for r in terms_of(run)]
             # counts beyond 2 ** 20 of one term say no more
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc").cast(pa.string()), batch.column("label"), pa.array([a.astype(np.int32) for a, _ in rows], pa.list_(pa.int32())), pa.array([np.minimum(n, 1 << 20).astype(np.int32) for _, n in rows], pa.list_(pa.int32()))],
@@ -246,11 +238,11 @@ def accepted(docs: DataFrame, voters: Voters, threshold: float = THRESHOLD, text
 
 
 def _scored(batches: Iterable[pa.RecordBatch], voters: Voters, text_at: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    terms = Terms()
     for batch in batches:
         for a in range(0, batch.num_rows, BLOCK_DOCS):
             part = batch.slice(a, BLOCK_DOCS)
-            yield part, voters.scores([terms.of(t.as_py()) for t in part.column(text_at)])
+            texts = (t.as_py() for t in part.column(text_at))
+            yield part, voters.scores([r for run in text_runs(texts) for r in terms_of(run)])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
