@@ -40,13 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import shared, small
-from .text import WordHashes, col, mapped_rows, mixed, shingles_by_text, tidy, utf8_bytes, words_of
+from .text import col, hashed_runs, mapped_rows, mixed, shingles_by_text, tidy, utf8_bytes, words_of
 
 WIDTH = 5
 CONTAINED = 0.8
 HASHES = 64
 BLOCK_BYTES = 4 << 20
-BATCH_WORDS = 1 << 18
 SIEVE = 1 << 16
 #: Items whose shingles a worker keeps.
 KEPT_ITEMS = 4096
@@ -70,8 +69,8 @@ class Items:
         self.keys = [k for k, _ in items]
         self.words = [w for _, w in items]
         self.sets: dict[int, set[tuple[bytes, ...]]] = {}
-        hashes = WordHashes()
-        rows = [np.unique(x) for x in shingles_by_text([hashes.of(w) for w in self.words], width)]
+        hashed = [r for rows in hashed_runs(b" ".join(w).decode("utf-8", "surrogatepass") for w in self.words) for r in rows]
+        rows = [np.unique(x) for x in shingles_by_text(hashed, width)]
         #: class (log2 of its upper size) -> items
         self.classes: dict[int, list[int]] = defaultdict(list)
         for k, x in enumerate(rows):
@@ -135,34 +134,29 @@ class Search:
                 by_width[min(width, len(words))].append((key, words))
         self.groups = [Items(w, own) for w, own in sorted(by_width.items())]
         self.contained = contained
-        self.hashes = WordHashes()
 
     def pairs(self, texts: Iterable[str | None]) -> Iterator[tuple[int, str, float]]:
         """(place of the text, item, containment) of every match."""
-        held: list[tuple[int, list[bytes]]] = []
-        size = 0
-        for k, text in enumerate(texts):
-            held.append((k, words_of(text)))
-            size += len(held[-1][1])
-            if size >= BATCH_WORDS:
-                yield from self._matches(held)
-                held, size = [], 0
-        yield from self._matches(held)
-
-    def _matches(self, held: list[tuple[int, list[bytes]]]) -> Iterator[tuple[int, str, float]]:
-        rows = [self.hashes.of(words) for _, words in held]
+        texts = list(texts)
+        at = 0
+        for rows in hashed_runs(texts):
+            for d, key, share in self._matches(rows, texts[at : at + len(rows)]):
+                yield at + d, key, share
+            at += len(rows)
+
+    def _matches(self, rows: list[np.ndarray], texts: list[str | None]) -> Iterator[tuple[int, str, float]]:
         for items in self.groups:
             found = defaultdict(list)
             own = [x if len(r) >= items.width else x[:0] for r, x in zip(rows, shingles_by_text(rows, items.width), strict=True)]
             for d, k in items.candidates(own):
                 found[d].append(k)
             for d, members in sorted(found.items()):
-                whole = shingles(held[d][1], items.width)
+                whole = shingles(words_of(texts[d]), items.width)
                 for k in sorted(members):
                     item = items.shingles_of(k)
                     share = len(item & whole) / len(item)
                     if share >= self.contained:
-                        yield held[d][0], items.keys[k], share
+                        yield d, items.keys[k], share
 
 
 #: The search of the block that this worker had last, by the block's name.
