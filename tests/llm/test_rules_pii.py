@@ -4,11 +4,21 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from ledgerline.llm import pii, rule_cascade
 from ledgerline.llm.queries import op5_rule_cascade, op9_pii_spans, oracle_sql
 from tests.compare import oracle, same
 
 
+@pytest.fixture(autouse=True)
+def quick(monkeypatch, request):
+    """The estimates' repeats cost time and change no verdict."""
+    if "dear" not in request.node.name:
+        monkeypatch.setattr(rule_cascade, "EVALUATIONS", 1)
+        monkeypatch.setattr(rule_cascade, "TRIES", 1)
+
+
 def test_rules_equal_sql(spark, small):
     same(op5_rule_cascade(spark, small).toPandas(), oracle(small, oracle_sql()["op5_rule_cascade"]))
 
@@ -39,17 +49,33 @@ def test_measures_of_odd_rows(spark, odd, none):
 
 
 def test_order_changes_cost_not_verdicts(documents):
-    measured = rule_cascade.with_measures(documents)
-    found = rule_cascade.ordered_by_gain(measured)
-    gains = [share / max(cost, 1e-6) for _, cost, share in found]
+    found = rule_cascade.ordered_by_gain(rule_cascade.sampled(documents.select("text")))
+    gains = [share / max(cost, 1e-9) for _, cost, share in found]
     assert gains == sorted(gains, reverse=True) and {r for r, _, _ in found} == set(rule_cascade.RULES)
+    measured = rule_cascade.with_measures(documents)
     verdict = [measured.select("doc_id", rule_cascade.cascade(order).isNull().alias("kept")) for order in (rule_cascade.RULES, rule_cascade.RULES[::-1])]
     assert sorted(map(tuple, verdict[0].collect())) == sorted(map(tuple, verdict[1].collect()))
+    kept = {r.doc_id for r in rule_cascade.judge(documents).where("kept").collect()}
+    assert {r.doc_id for r in rule_cascade.survivors(documents).collect()} == kept and kept
+
+
+def test_a_dear_rule_of_equal_selectivity_comes_later(documents):
+    dear = "length(text) % 2 = 0 AND length(regexp_replace(regexp_replace(concat(text, text), '(a|b|c)+', 'x'), '([d-m]|x)+', 'y')) >= 0"
+    rules = [rule_cascade.Rule("dear", dear), rule_cascade.Rule("cheap", "length(text) % 2 = 0"), rule_cascade.Rule("never", "length(text) < 0")]
+    found = rule_cascade.ordered_by_gain(rule_cascade.sampled(documents.select("text")), rules)
+    cost, share = {r.name: c for r, c, _ in found}, {r.name: s for r, _, s in found}
+    assert [r.name for r, _, _ in found] == ["cheap", "dear", "never"] and share["dear"] == share["cheap"] > share["never"] == 0
+    assert cost["dear"] > 5 * cost["cheap"]
+
+
+def test_measures_are_computed_where_a_rule_is_reached(documents):
+    plan = rule_cascade.survivors(documents)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" in plan.split("Filter")[1].split("\n")[0] and plan.count("Project") <= 2
 
 
 def test_main_path_has_no_python(documents):
-    plan = rule_cascade.judge(documents)._jdf.queryExecution().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+    for df in (rule_cascade.judge(documents), rule_cascade.survivors(documents), rule_cascade.sampled(documents)):
+        assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().toString())
 
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
