@@ -21,6 +21,10 @@ from ..shared import hadoop, shared_dir
 #: Parquet bytes of a table that may be broadcast; in memory it takes a few times that.
 BROADCAST_BYTES = 4 << 20
 
+#: Documents of one Arrow batch; Spark's own 10,000 are tens of MB, several times over in the JVM and in a worker.
+BATCH_ROWS = 1024
+_BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 #: Scratch paths and broadcasts of the blocks of ``released`` that are open, innermost last.
 _open: list[tuple[list[str], list[Broadcast]]] = []
 
@@ -33,6 +37,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_ROWS`` in this session, unless the application or the session says otherwise."""
+    if not spark.sparkContext.getConf().contains(_BATCHES) and spark.conf.get(_BATCHES) == "10000":
+        spark.conf.set(_BATCHES, str(BATCH_ROWS))
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -46,6 +56,7 @@ def written_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """As ``written``, and the path, for tables that a later one replaces."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    small_batches(spark)
     df.write.parquet(path)
     trim(spark)
     return spark.read.schema(df.schema).parquet(path), path
@@ -66,6 +77,7 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 def shared(spark: SparkSession, value) -> Broadcast:
     """``value`` broadcast; the block of ``released`` that is open destroys it."""
+    small_batches(spark)
     out = spark.sparkContext.broadcast(value)
     if _open:
         _open[-1][1].append(out)
