@@ -24,7 +24,10 @@ Plan: one scan and one Arrow map, no shuffle.  The tokenizer file (a few MB,
 its size does not depend on the data) is read on the driver and broadcast.
 Memory: texts are joined up to ``BATCH`` characters; longer ones are cut
 before white space that follows another character, where a word always
-starts.  Tables are dropped between batches beyond ``MOST_CELLS`` cells.
+starts.  Tables that grow beyond ``MOST_CELLS`` cells or ``MOST_STATES`` states
+are dropped, inside a long word too: the states that words are in stay and the
+others are compiled again when needed.  What is known of seams is dropped on
+its own beyond ``MOST_FITS``.
 
 Defined results: a null or empty text has no bytes and no tokens; an added
 token's string inside a text is that one token, as the library has it by
@@ -43,11 +46,13 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .storage import shared
+from .text import col, tidy, utf8_bytes
 
 BATCH = 1 << 20
 CHUNK = 256
-MOST_CELLS = 24 << 20
+MOST_CELLS, MOST_STATES, MOST_FITS = 36 << 20, 1 << 17, 1 << 19
 SMALL_SUBTREE = 12
 #: No string that Arrow carries holds a lone surrogate, so it can part texts.
 PART = "\ud800"
@@ -184,11 +189,11 @@ class Tokens:
         #: tokens strictly below a node, where they are few
         self.below = {k: tuple(v) for k, v in inner.items() if len(v) <= SMALL_SUBTREE}
         self.inner = set(inner)
-        self.spine: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
         self.reset()
 
     def reset(self) -> None:
+        self.spine: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        self.fits: dict[tuple[int, int], bool] = {}
         self.states: dict[tuple, int] = {}
         self.entries: list[tuple] = []
         self.column = np.full(256, -1, np.int64)
@@ -233,6 +238,9 @@ class Tokens:
         """Whether ``token`` may stand after ``before`` (-1: at the start of a word)."""
         key = before, token
         if key not in self.fits:
+            if len(self.fits) >= MOST_FITS:
+                self.fits.clear()
+                self.spine.clear()
             self.fits[key] = self.whole(token) if before < 0 else self.may_follow(-1, token) and self.seam_holds(before, token)
         return self.fits[key]
 
@@ -265,6 +273,10 @@ class Tokens:
                 self.change = np.concatenate([self.change, np.zeros_like(self.change)])
         return self.states[entries]
 
+    def fill(self) -> float:
+        """Share of what the tables may hold; above 1 they are dropped."""
+        return max(self.to.size / MOST_CELLS, len(self.entries) / MOST_STATES)
+
     def columns_for(self, used: np.ndarray) -> None:
         for b in np.flatnonzero(used & (self.column < 0)):
             self.column[b] = self.n_columns
@@ -309,9 +321,11 @@ class Tokens:
 
     def counts(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Tokens of every word data[start : start + length]."""
-        if self.to.size > MOST_CELLS:
+        if self.fill() > 1:
             self.reset()
-        self.columns_for(np.bincount(data, minlength=256) > 0)
+        used = np.bincount(data, minlength=256) > 0
+        self.columns_for(used)
+        most = 1.0
         order = np.argsort(-lengths, kind="stable")
         begin, length = starts[order], lengths[order]
         state = np.zeros(len(order), np.int64)
@@ -329,6 +343,13 @@ class Tokens:
                 to = self.to[state[:n], column]
             out[:n] += self.change[state[:n], column]
             state[:n] = to
+            if len(new) and self.fill() > most:
+                live, back = np.unique(state[:n], return_inverse=True)
+                kept = [self.entries[s] for s in live.tolist()]
+                self.reset()
+                self.columns_for(used)
+                state[:n] = np.array([self.state(x) for x in kept])[back]
+                most = max(1.0, 2 * self.fill())  # states of many words at once may need more
         back = np.empty_like(out)
         back[order] = out
         return back
@@ -405,7 +426,7 @@ def _compiled(spec: str) -> Tokens:
 def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes and n_tokens of every row's whole text."""
     with open(tokenizer_path, encoding="utf-8") as f:
-        spec = docs.sparkSession.sparkContext.broadcast(f.read())
+        spec = shared(docs.sparkSession, f.read())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -415,5 +436,6 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                 counts = count_tokens(texts, _compiled(spec.value))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), pa.array(counts)], ["doc_id", "n_bytes", "n_tokens"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_bytes long, n_tokens long")
+    text = col(text_col).cast("string")
+    rows = docs.select(col(id_col).alias("doc_id"), text.alias("text"), utf8_bytes(text).alias("n_bytes"))
+    return rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, n_bytes long, n_tokens long")

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -10,7 +11,7 @@ import pytest
 
 from ledgerline.llm import bloom_lm, decontam, quality_knn
 from ledgerline.llm.queries import op2_knn_quality, op4_bloom_lm, op10_minhash_containment, oracle_sql
-from ledgerline.llm.text import WordHashes, fold_of
+from ledgerline.llm.text import Words, fold_of, hashed_runs, text_runs
 from tests.compare import oracle, same
 from tests.llm.conftest import prose
 
@@ -41,34 +42,111 @@ def test_base_scores_are_exact(spark, small, documents, table_words):
     assert held > base  # of texts it has not seen the model expects more than words alone do
 
 
+def exact_scores(texts: dict, training: set) -> dict:
+    """The model's formula on exact counts, quantised as the filter's are, by dictionaries."""
+    tokens = {i: [*(t or "").encode().lower().split(), 0] for i, t in texts.items()}
+    c = [Counter(), Counter(), Counter()]
+    for i in training:
+        t = [None, *tokens[i]]
+        c[0].update(t[1:])
+        c[1].update(zip(t, t[1:], strict=False))
+        c[2].update(zip(t, t[1:], t[2:], strict=False))
+    level = lambda n: 1 + int(math.log2(n)) if n else 0
+    mid = lambda n: 2 ** (level(n) - 0.5) if level(n) > 1 else float(level(n))
+    b = [bloom_lm.successor_exponent(Counter(map(level, c[k].values())), len(c[k + 1])) for k in (0, 1)]
+    g = sum(n for n in c[2].values() if n > 1) / max(1, sum(c[2].values()))
+    n, v = sum(c[0].values()), len(c[0])
+    out = {}
+    for i, t in tokens.items():
+        total = 0.0
+        for k, w in enumerate(t):
+            p = (mid(c[0][w]) + 0.5) / (n + 0.5 * (v + 1))
+            u = t[k - 1] if k else None
+            before, pair = mid(c[0][u if k else 0]), mid(c[1][u, w])
+            types = max(before, 1.0) ** b[0]
+            p = (min(pair, max(before, min(pair, 1))) + types * p) / (before + types)
+            context = mid(c[1][t[k - 2] if k > 1 else None, u]) if k else 0.0
+            if context:
+                triple = c[2][t[k - 2] if k > 1 else None, u, w]
+                types = max(context, 1.0) ** b[1]
+                triple = min(mid(triple), context) if triple > 1 else 0.0
+                p = (triple + (min((1 - g) * context, context - triple) + types) * p) / (context + types)
+            total += math.log10(p)
+        out[i] = total
+    return out
+
+
+def test_scores_are_those_of_the_exact_model(spark, small, documents, monkeypatch):
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    want = exact_scores(texts, {i for i in texts if fold(i) != 1})
+    got = {r.doc_id: r.score for r in op4_bloom_lm(spark, small).collect()}
+    assert sum(abs(got[i] - want[i]) for i in want) < 0.03 * -sum(want.values())
+    monkeypatch.setattr(bloom_lm, "BITS_PER_ENTRY", 200)
+    got = {r.doc_id: r.score for r in op4_bloom_lm(spark, small).collect()}
+    assert all(got[i] == pytest.approx(want[i], rel=2e-3, abs=0.05) for i in want)
+
+
+def test_texts_that_stand_twice_score_apart(spark):
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(300)]
+    texts = [" ".join(rng.choices(words, k=80)) for _ in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts + texts[:60])), "doc_id long, text string")
+    rows = {r.doc_id: r.score / r.n_tokens for r in bloom_lm.lm_scores(docs).collect()}
+    twice = [rows[k] for k in range(60) if fold(k) != 1 and fold(600 + k) != 1]
+    once = sorted(rows[k] for k in range(60, 600))
+    assert np.mean([x > once[int(0.95 * len(once))] for x in twice]) > 0.9
+
+
 def test_filter_holds_levels_and_never_forgets():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 1 << 64, 20_000, np.uint64)
     counts = rng.integers(1, 5000, 20_000)
     n, bits = 16, 1 << 17
-    data = np.zeros(n * bits // 8, np.uint8)
-    for s in range(n):
-        own = bloom_lm.segment_of(keys, n) == s
-        data[s * bits // 8 : (s + 1) * bits // 8] = np.frombuffer(bloom_lm.segment_bits(keys[own], counts[own], bits), np.uint8)
-    f = bloom_lm.Filter(data, n, bits, 0, 0, 0, 1.0)
-    got, least = f.counts(keys), bloom_lm.middle(bloom_lm.levels(counts))
-    assert (got >= least).all() and (got == least).mean() > 0.95
-    assert (f.counts(rng.integers(0, 1 << 64, 20_000, np.uint64)) == 0).mean() > 0.9
+    for kind in bloom_lm.KINDS:
+        data = np.zeros(n * bits // 8, np.uint8)
+        for s in range(n):
+            own = bloom_lm.segment_of(keys, n) == s
+            held = {kind: (bloom_lm.keys_in_segment(keys[own], kind), counts[own])}
+            data[s * bits // 8 : (s + 1) * bits // 8] = np.frombuffer(bloom_lm.segment_bits(held, bits), np.uint8)
+        f = bloom_lm.Filter(data, n, bits)
+        got, least = f.counts(keys, kind), bloom_lm.middle(bloom_lm.levels(counts))
+        assert (got >= least).all() and (got == least).mean() > 0.95
+        assert (f.counts(rng.integers(0, 1 << 64, 20_000, np.uint64), kind) == 0).mean() > 0.9
 
 
-def test_a_filter_beyond_the_broadcast_keeps_its_bits(documents, odd, monkeypatch):
-    def scores(docs):
-        return sorted(((str(r.doc_id), r.n_tokens, r.n_known, r.base_score, r.score) for r in bloom_lm.lm_scores(docs).collect()))
+def test_packed_counts_come_back():
+    rng = np.random.default_rng(2)
+    for width in (5, 8):
+        keys = np.unique(rng.integers(0, 1 << 8 * width - 1, 5000, np.uint64))
+        counts = np.where(rng.random(len(keys)) < 0.01, rng.integers(1, 1 << 40, len(keys)), rng.integers(1, 300, len(keys)))
+        blob = bloom_lm.pack(keys, counts, width)
+        assert all(np.array_equal(a, b) for a, b in zip(bloom_lm.unpack(blob, width), (keys, counts), strict=True))
+        twice = bloom_lm.merged([blob, None, blob], width)
+        assert np.array_equal(twice[0], keys) and np.array_equal(twice[1], 2 * counts)
+
+
+def scores(docs):
+    return sorted((str(r.doc_id), r.n_tokens, r.n_known, r.base_score, r.score) for r in bloom_lm.lm_scores(docs).collect())
+
 
+def test_a_filter_beyond_the_broadcast_keeps_its_bits(documents, odd, monkeypatch):
     whole = [scores(d) for d in (documents, odd)]
     monkeypatch.setattr(bloom_lm, "MOST_FILTER_BYTES", 1 << 12)
-    monkeypatch.setattr(bloom_lm, "CHUNK_BYTES", 1 << 16, raising=False)
+    monkeypatch.setattr(bloom_lm, "CHUNK_BYTES", 1 << 16)
     for docs, want in zip((documents, odd), whole, strict=True):
         got = scores(docs)
         assert [r[:3] for r in got] == [r[:3] for r in want]
         assert np.allclose([r[3:] for r in got], [r[3:] for r in want], rtol=1e-9)
 
 
+def test_segments_beyond_one_exchange_hold_the_same(documents, monkeypatch):
+    monkeypatch.setattr(bloom_lm, "SEGMENT_BYTES", 1 << 13)
+    want = scores(documents)
+    monkeypatch.setattr(bloom_lm, "FAN", 5)
+    monkeypatch.setattr(bloom_lm, "HELD_ENTRIES", 5000)
+    assert np.allclose([r[1:] for r in scores(documents)], [r[1:] for r in want], rtol=1e-9)
+
+
 def test_lm_of_odd_rows(odd, none):
     got = bloom_lm.lm_scores(odd).collect()
     assert len(got) == odd.count() and sum(r.n_tokens == 1 for r in got) == 4
@@ -92,13 +170,12 @@ def test_held_out_quality(spark, documents):
 
 
 def test_scores_are_those_of_all_cosines():
-    terms = quality_knn.Terms()
     texts = [prose(k, 40) if k % 2 else "JUNK!! " * (k + 5) for k in range(60)]
-    own = [np.unique(terms.of(t), return_counts=True) for t in texts]
+    own = [np.unique(r, return_counts=True) for r in quality_knn.terms_of([t.encode() for t in texts])]
     y = np.array([k % 2 for k in range(60)])
     x = quality_knn.SparseTerms(np.cumsum([0] + [len(a) for a, _ in own]), np.concatenate([a for a, _ in own]), np.concatenate([b for _, b in own]))
     v = quality_knn.Voters.fit(x, y, 16)
-    rows = [terms.of(t) for t in ["JUNK!! JUNK!!", prose(77, 30), "", "9"]]
+    rows = quality_knn.terms_of([t.encode() for t in ("JUNK!! JUNK!!", prose(77, 30), "", "9")])
     got = v.scores(rows, 7)
     z = v.vectors_of(rows)
     for k in range(3):
@@ -203,7 +280,23 @@ def test_decontamination_of_odd_rows(spark, odd, none):
     assert decontam.contained_items(odd, items.where("false")).count() == 0 and decontam.without_items(odd, items.where("false")).count() == odd.count()
 
 
-def test_word_hashes_forget():
-    h = WordHashes(most=3)
-    a = h.of([b"a", b"b", b"c", b"d"]).tolist()
-    assert h.of([b"a", b"b", b"c", b"d"]).tolist() == a
+def test_words_of_a_run_are_those_of_each_text():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["a", "B", "é", "中", " ", "  ", "\t", "\n", "\x0b", "\x1f", "\x85", "\0", "x" * 17]) for _ in range(rng.randint(0, 40))) for _ in range(400)] + [None, "", " "]
+    hashes: dict[bytes, int] = {}
+    for run, own in ((r, Words.of(r)) for r in text_runs(texts, 500)):
+        for text, row in zip(run, own.split(own.hashes()), strict=True):
+            assert len(row) == len(text.split())
+            assert all(hashes.setdefault(w, h) == h for w, h in zip(text.lower().split(), row.tolist(), strict=True))
+    assert len(set(hashes.values())) == len(hashes) and sum(len(r) for r in hashed_runs(texts)) == len(texts)
+
+
+def test_shapes():
+    def shape(w):
+        w = re.sub(rb"[A-Z]+", b"A", re.sub(rb"[a-z\x80-\xff]+", b"a", w))
+        return re.sub(rb"[0-9]+", b"9", w)[:12]
+
+    words = ["abc", "Abc", "ABC", "a1", "12.5", "é", "!!", "!!!", "x-y-z-x-y-z-x-y", "x-y-z-x-y-z-x", "aé1A", "中", "b2"]
+    own = Words.of([" ".join(words).encode()])
+    seen = dict(zip(words, quality_knn.shape_hashes(own).tolist(), strict=True))
+    assert all((seen[a] == seen[b]) == (shape(a.encode()) == shape(b.encode())) for a in words for b in words)

@@ -61,6 +61,51 @@ def test_dropped_tables_compile_again(monkeypatch):
         assert fst_tokens.count_tokens(texts, tokens).tolist() == [len(x) for x in library(texts)]
 
 
+def test_tables_are_dropped_inside_a_long_word(monkeypatch):
+    rng = random.Random(9)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000))
+    tokens = fst_tokens.Tokens(SPEC)
+    monkeypatch.setattr(fst_tokens, "MOST_STATES", 500)
+    monkeypatch.setattr(fst_tokens, "MOST_FITS", 300)
+    texts = [word, "some words", word[:5000]]
+    assert fst_tokens.count_tokens(texts, tokens).tolist() == [len(x) for x in library(texts)]
+    assert len(tokens.entries) <= 1001 and len(tokens.fits) <= 300
+
+
+def thue_morse(n: int) -> str:
+    return "".join("ab"[k.bit_count() % 2] for k in range(n))
+
+
+def test_words_are_told_apart_by_all_their_bytes():
+    encoder = pfor.Encoder(SPEC)
+    texts = []
+    for n in (8, 16, 17, 32, 1024, 2048, 4096):
+        texts += [thue_morse(n), thue_morse(n).translate(str.maketrans("ab", "ba"))]
+    texts += [" ".join(texts), "a\0", "a", "a\0\0", "\0" * 15, "\0" * 16, "\0" * 17, "é" * 8, "é" * 9]
+    for _ in range(2):
+        assert [x.tolist() for x in encoder.encode(texts)] == library(texts)
+        assert [encoder.encode([t])[0].tolist() for t in texts] == library(texts)
+
+
+def test_equal_hashes_do_not_mix_words(monkeypatch):
+    monkeypatch.setattr(pfor, "mixed_bytes", lambda lo, hi, length: lo & np.uint64(7))
+    encoder = pfor.Encoder(SPEC)
+    texts = ["the cat sat on the mat", "another cat and another mat", "numbers 12 and 34"]
+    for _ in range(2):
+        assert [x.tolist() for x in encoder.encode(texts)] == library(texts)
+
+
+def test_texts_longer_than_a_run_equal_the_library():
+    rng = random.Random(12)
+    words = ["the", "model's", " counts", "12345", "naïve", "中文字", "\n\n", "  ", "x" * 40, "!?", "tokens"]
+    prose = " ".join(rng.choice(words) for _ in range(480_000))
+    texts = ["short", prose, "z" * 300_000]
+    assert max(map(len, texts)) > pfor.RUN_CHARACTERS > fst_tokens.BATCH
+    want = library(texts)
+    assert fst_tokens.count_tokens(texts, TOKENS).tolist() == [len(x) for x in want]
+    assert all(a.tolist() == b for a, b in zip(ENCODER.encode(texts), want, strict=True))
+
+
 def test_other_tokenizers_are_refused():
     import public_tokenizers
 
