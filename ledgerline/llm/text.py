@@ -129,23 +129,6 @@ def hashed_runs(texts: Iterable[str | None], most: int = RUN_BYTES) -> Iterator[
         yield words.split(words.hashes())
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept for those seen; ``of`` forgets them all beyond ``most`` words."""
-
-    def __init__(self, most: int = 200_000) -> None:
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word, 42)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > self.most:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads them (all in uint64 arithmetic)."""
     x = x ^ (x >> np.uint64(30))
