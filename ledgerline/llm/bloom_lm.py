@@ -41,8 +41,9 @@ n-grams of the corpus.  The filter has ``BITS_PER_ENTRY`` bits for each entry,
 whatever their number.  Up to ``MOST_FILTER_BYTES``, the size that workers and
 driver can hold, it is gathered and broadcast.  A larger one is never in one
 place: documents are put together in chunks of ``CHUNK_BYTES``, each chunk's
-distinct n-grams go to their segments, one segment's bits are made and probed
-at a time, and levels (with the words' exact counts) come back to the chunk.
+distinct n-grams go to their segments, a segment's bits are probed by all
+chunks that ask it, and levels (with the words' exact counts) come back to the
+chunk.  That is done for a share of the chunks at a time, ``PASSES`` in all.
 
 Defined results: a null or empty text is the end token alone; repeated rows
 count and score each; a null id is the empty text to the fold; an empty
@@ -56,13 +57,15 @@ import struct
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import shared, written
+from .storage import drop_path, shared, shuffles_dropped, written, written_at
 from .text import RUN_BYTES, col, fold_of, hashed_runs, mixed, tidy
 
 QUANT_BASE = 2.0
@@ -76,6 +79,10 @@ SEGMENT_BYTES = 4 << 20
 FAN = 8192
 #: Documents' bytes that are scored together where the filter is too large to broadcast.
 CHUNK_BYTES = 8 << 20
+#: Shares of the chunks that ask the segments one after another: what one asks and is told goes before the next.
+PASSES = 4
+#: Keys of one segment that are probed by one call.
+ASKED_KEYS = 1 << 18
 MERGE_WORDS = 1 << 19
 #: Distinct n-grams that a counting task holds before it passes them on.
 HELD_ENTRIES = 3_000_000
@@ -146,10 +153,51 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Ascending, without repeats; a sort is several times faster here than ``np.unique``, which hashes."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+def runs_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values of ``x`` (ascending) and where each starts."""
+    first = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.empty(0, np.int64)
+    return x[first], first
+
+
+def places(x: np.ndarray) -> np.ndarray:
+    """For each of ``x`` its place among the distinct values, ascending."""
+    order = np.argsort(x)
+    ordered = x[order]
+    back = np.empty(len(x), np.int64)
+    back[order] = np.cumsum(np.append(False, ordered[1:] != ordered[:-1])[: len(x)])
+    return back
+
+
+def in_runs(blobs: list[bytes], most: int) -> Iterator[list[bytes]]:
+    """``blobs`` in runs of about ``most`` bytes."""
+    held: list[bytes] = []
+    size = 0
+    for b in blobs:
+        held.append(b)
+        size += len(b)
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def segment_of(hashes: np.ndarray, n: int) -> np.ndarray:
     return (hashes >> np.uint64(40)) % np.uint64(n)
 
 
+def by_segment(segments: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The stable order of ``segments``, all below ``n``, those that occur, and their first places in that order."""
+    order = np.argsort(segments.astype(np.uint16) if n <= 1 << 16 else segments, kind="stable")  # 16 bits are sorted by digits
+    return order, *runs_of(segments[order])
+
+
 def keys_in_segment(hashes: np.ndarray, kind: str) -> np.ndarray:
     """What tells n-grams of a kind apart inside their segment: the low bytes of their hashes."""
     width = KEY_BYTES[kind]
@@ -214,11 +262,9 @@ def dealt(counters: dict[str, Counter], n: int, own: int | None = None, whole: b
     parts: dict[str, dict[int, bytes]] = {}
     for kind, counter in counters.items():
         counter.merge()
-        to = segment_of(counter.keys, n) // np.uint64(own or 1)
-        order = np.argsort(to, kind="stable")
+        order, names, first = by_segment(segment_of(counter.keys, n) // np.uint64(own or 1), n)
         keys = counter.keys[order] if whole else keys_in_segment(counter.keys[order], kind)
-        counts, (names, first) = counter.counts[order], np.unique(to[order], return_index=True)
-        ends = [*first[1:].tolist(), len(order)][: len(first)]
+        counts, ends = counter.counts[order], [*first[1:].tolist(), len(keys)][: len(first)]
         parts[kind] = {s: pack(keys[a:b], counts[a:b], 8 if whole else KEY_BYTES[kind]) for s, a, b in zip(names.tolist(), first.tolist(), ends, strict=True)}
     every = sorted(set().union(*parts.values()))
     for k in range(0, len(every), 64):
@@ -272,6 +318,10 @@ def middle(level):
     return np.where(level > 1, QUANT_BASE ** (np.asarray(level) - 0.5), level)
 
 
+#: ``middle`` of every level.
+STANDS_FOR = middle(np.arange(64))
+
+
 def _hashed(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     """What the bits of (n-gram, level) follow from: a start and a step."""
     h = mixed(keys + np.uint64(0x9E3779B97F4A7C15 * level & (1 << 64) - 1))
@@ -363,7 +413,7 @@ class Model:
     """What training leaves: the filter, and the exact counts by segment."""
 
     filter: Filter
-    table: DataFrame  # segment, words, pairs, triples (packed)
+    table: DataFrame  # segment, words (packed), bits (of the filter)
 
 
 TOTALS = ("tokens", "n_words", "n_pairs", "n_triples", "all_triples", "kept_triples", "entries")
@@ -399,7 +449,8 @@ def train(docs: DataFrame) -> Model:
     """Fit on ``docs(text)``."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_segments = max(16, -(-size // SEGMENT_BYTES))
-    table = written(count_ngrams(docs, n_segments).groupBy("segment").applyInArrow(_merge_segment, SEGMENT_SCHEMA), "ngrams")
+    with shuffles_dropped(docs.sparkSession):
+        table, path = written_at(count_ngrams(docs, n_segments).groupBy("segment").applyInArrow(_merge_segment, SEGMENT_SCHEMA), "ngrams")
     sums = table.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in TOTALS]).first()
     total = max(1 << 16, BITS_PER_ENTRY * sums.entries)
     bits = -(-total // (n_segments * 8)) * 8
@@ -407,13 +458,13 @@ def train(docs: DataFrame) -> Model:
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                yield pa.RecordBatch.from_pydict({"segment": [r["segment"]], "bits": [segment_bits(grams_of(r), bits)]})
+                yield pa.RecordBatch.from_pydict({"segment": [r["segment"]], "words": [r["words"]], "bits": [segment_bits(grams_of(r), bits)]})
 
+    made = written(table.select("segment", *KINDS).mapInArrow(tidy(build), "segment long, words binary, bits binary"), "filter")
     data = None
     if total <= MOST_FILTER_BYTES * 8:
         data = np.zeros(n_segments * bits // 8, np.uint8)
-        made = written(table.select("segment", *KINDS).mapInArrow(tidy(build), "segment long, bits binary"), "filter")
-        for r in made.toLocalIterator():  # MOST_FILTER_BYTES, and a byte a segment, at most
+        for r in made.select("segment", "bits").toLocalIterator():  # MOST_FILTER_BYTES, and a byte a segment, at most
             at = r.segment * bits // 8
             data[at : at + bits // 8] = np.frombuffer(r.bits, np.uint8)
     exponents = []
@@ -421,7 +472,8 @@ def train(docs: DataFrame) -> Model:
         at = table.select(F.posexplode(c).alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).where("n > 0").collect()  # 64 rows
         exponents.append(successor_exponent({r.k: r.n for r in at}, n))
     fitted = Filter(data, n_segments, bits, sums.tokens, sums.n_words, sums.kept_triples / max(1, sums.all_triples), tuple(exponents))
-    return Model(fitted, table.select("segment", *KINDS))
+    drop_path(docs.sparkSession, path)
+    return Model(fitted, made)
 
 
 def successor_exponent(at: dict[int, int], successors: int) -> float:
@@ -527,11 +579,16 @@ def _score_by_join(rows: DataFrame, model: Model) -> DataFrame:
     return docs.join(sums, "row").select("doc_id", "n_tokens", "n_known", "base_score", "score")
 
 
-def _by_segment(hashes: np.ndarray, n_segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order of ``hashes`` (ascending) by segment, the segments that have any, and their first places in that order."""
-    segments = segment_of(hashes, n_segments)
-    order = np.argsort(segments, kind="stable")
-    return order, *np.unique(segments[order], return_index=True)
+def zipped(table: pa.Table) -> bytes:
+    """Arrow's stream format, compressed."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unzipped(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(blob).read_all()
 
 
 def _score_by_segment(rows: DataFrame, model: Model) -> DataFrame:
@@ -547,8 +604,8 @@ def _score_by_segment(rows: DataFrame, model: Model) -> DataFrame:
 
         def chunk() -> pa.RecordBatch:
             table = pa.Table.from_batches(held).combine_chunks()
-            lists = [pa.ListArray.from_arrays(pa.array([0, table.num_rows], pa.int32()), table.column(c).combine_chunks()) for c in ("doc_id", "text")]
-            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *lists], ["chunk", "ids", "texts"])
+            ids = pa.ListArray.from_arrays(pa.array([0, table.num_rows], pa.int32()), table.column("doc_id").combine_chunks())
+            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), ids, pa.array([zipped(table.select(["text"]))])], ["chunk", "ids", "texts"])
 
         for batch in batches:
             a = 0
@@ -563,61 +620,80 @@ def _score_by_segment(rows: DataFrame, model: Model) -> DataFrame:
         if held:
             yield chunk()
 
-    def ngrams(texts: Iterable) -> tuple[Grams, np.ndarray]:
-        (tokens, first), = token_runs(texts, 1 << 62)
+    def ngrams(texts: bytes) -> tuple[Grams, np.ndarray]:
+        (tokens, first), = token_runs(unzipped(texts).column("text"), 1 << 62)
         return Grams.of(tokens), first
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, texts in zip(batch.column("chunk").to_pylist(), batch.column("texts"), strict=True):
+            for chunk, texts in zip(batch.column("chunk").to_pylist(), batch.column("texts").to_pylist(), strict=True):
                 parts: dict[str, dict[int, bytes]] = {}
-                for kind, hashes in ngrams(texts.values)[0].each():
-                    hashes = np.unique(hashes)
-                    order, names, first = _by_segment(hashes, n_segments)
-                    keys = keys_in_segment(hashes[order], kind).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEY_BYTES[kind]]
-                    parts[kind] = {s: x.tobytes() for s, x in zip(names.tolist(), np.split(keys, first[1:]), strict=True)}
+                for kind, hashes in ngrams(texts)[0].each():
+                    hashes, width = distinct(hashes), KEY_BYTES[kind]
+                    order, names, first = by_segment(segment_of(hashes, n_segments), n_segments)
+                    keys = np.ascontiguousarray(hashes[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+                    ends = [*first[1:].tolist(), len(hashes)][: len(first)]
+                    parts[kind] = {s: keys[a * width : b * width] for s, a, b in zip(names.tolist(), first.tolist(), ends, strict=True)}
                 every = sorted(set().union(*parts.values()))
                 yield pa.RecordBatch.from_pydict({"segment": every, "chunk": [chunk] * len(every), **{kind: [parts[kind].get(s) for s in every] for kind in KINDS}}, pa.schema([("segment", pa.int64()), ("chunk", pa.string()), *[(kind, pa.binary()) for kind in KINDS]]))
 
     def answer(asked: pa.Table, counted: pa.Table) -> pa.Table:
-        grams = grams_of(counted.to_pylist()[0]) if counted.num_rows else {}
-        data = np.frombuffer(segment_bits(grams, bits), np.uint8)
+        made = counted.to_pylist()[0] if counted.num_rows else {"words": pack(*merged([], 8), 8), "bits": bytes(bits // 8)}
+        data, known = np.frombuffer(made["bits"], np.uint8), unpack(made["words"], 8)
         out: dict[str, list] = {**{kind: [] for kind in KINDS}, "counts": []}
         for kind in KINDS:
             width = KEY_BYTES[kind]
-            for blob in asked.column(kind):
-                raw = np.frombuffer(blob.as_py() or b"", np.uint8).reshape(-1, width)
+            blobs = [b or b"" for b in asked.column(kind).to_pylist()]
+            for run in in_runs(blobs, ASKED_KEYS * width):  # a call for the keys of many chunks, as one chunk has few in a segment
+                raw = np.frombuffer(b"".join(run), np.uint8).reshape(-1, width)
                 keys = np.zeros((len(raw), 8), np.uint8)
                 keys[:, :width] = raw
                 keys = keys.view("<u8").ravel()
-                out[kind].append(probe(data, None, keys, kind, bits).tobytes())
+                upto = [0, *accumulate(len(b) // width for b in run)]
+                level = probe(data, None, keys, kind, bits).tobytes()
+                out[kind] += [level[a:b] for a, b in pairwise(upto)]
                 if kind == "words":
-                    out["counts"].append(looked_up(*grams.get(kind, (keys[:0], np.empty(0, np.int64))), keys).tobytes())
+                    counts = looked_up(*known, keys).tobytes()
+                    out["counts"] += [counts[8 * a : 8 * b] for a, b in pairwise(upto)]
         return pa.table({"chunk": asked.column("chunk"), "segment": asked.column("segment"), **{c: pa.array(v, pa.binary()) for c, v in out.items()}})
 
     def finish(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        ids, texts = (docs.column(c)[0].values for c in ("ids", "texts"))
-        grams, first = ngrams(texts)
+        ids = docs.column("ids")[0].values
+        grams, first = ngrams(docs.column("texts")[0].as_py())
         answers = answers.sort_by("segment")
 
-        def returned(column: str, hashes: np.ndarray, dtype: type = np.uint8) -> np.ndarray:
-            keys, back = np.unique(hashes, return_inverse=True)
-            got = np.empty(len(keys), dtype)
-            got[_by_segment(keys, n_segments)[0]] = np.frombuffer(b"".join(b.as_py() for b in answers.column(column)), dtype)
-            return got[back]
-
-        own, pair = (middle(returned(kind, x).astype(np.int64)) for kind, x in (("words", grams.tokens), ("pairs", grams.pairs)))
+        def returned(column: str, dtype: type = np.uint8) -> np.ndarray:
+            return np.frombuffer(b"".join(answers.column(column).to_pylist()), dtype)
+
+        at = {}  # the place of each n-gram among what came back
+        for kind, hashes in grams.each():
+            back = places(hashes)
+            different = np.empty(int(back.max(initial=-1)) + 1, np.uint64)
+            different[back] = hashes
+            order = by_segment(segment_of(different, n_segments), n_segments)[0]
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            at[kind] = place[back]
+        own, pair = (STANDS_FOR[returned(kind)][at[kind]] for kind in ("words", "pairs"))
         triple = np.zeros(len(own))
-        triple[~grams.begins] = middle(returned("triples", grams.triples[~grams.begins]).astype(np.int64))
+        triple[~grams.begins] = STANDS_FOR[returned("triples")][at["triples"]]
         p = f.estimates(grams.begins, own, pair, triple, float(own[grams.tokens == END][0]))
-        sums = _sums(first, returned("counts", grams.tokens, np.int64), p, f)
+        sums = _sums(first, returned("counts", np.int64)[at["words"]], p, f)
         return pa.table({"doc_id": ids, **{c.split()[0]: pa.array(x) for c, x in zip(SCORES.split(", "), sums, strict=True)}})
 
     kind = id_type.simpleString()
-    chunks = written(rows.mapInArrow(tidy(together), f"chunk string, ids array<{kind}>, texts array<string>"), "chunks")
-    asked = chunks.select("chunk", "texts").mapInArrow(tidy(ask), f"segment long, chunk string, {BLOBS}")
-    answers = asked.groupBy("segment").cogroup(model.table.groupBy("segment")).applyInArrow(answer, f"chunk string, segment long, {BLOBS}, counts binary")
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, f"doc_id {kind}, {SCORES}")
+    chunks = written(rows.mapInArrow(tidy(together), f"chunk string, ids array<{kind}>, texts binary"), "chunks")
+
+    def scored(docs: DataFrame) -> DataFrame:
+        asked = docs.select("chunk", "texts").mapInArrow(tidy(ask), f"segment long, chunk string, {BLOBS}")
+        answers = asked.groupBy("segment").cogroup(model.table.groupBy("segment")).applyInArrow(answer, f"chunk string, segment long, {BLOBS}, counts binary")
+        return docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, f"doc_id {kind}, {SCORES}")
+
+    parts = []
+    for k in range(PASSES):
+        with shuffles_dropped(rows.sparkSession):
+            parts.append(written(scored(chunks.where(F.pmod(F.xxhash64("chunk"), F.lit(PASSES)) == k)), "scores"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def lm_scores(docs: DataFrame, held_out_fold: int = 1, table_words: int = TABLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

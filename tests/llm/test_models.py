@@ -139,6 +139,33 @@ def test_a_filter_beyond_the_broadcast_keeps_its_bits(documents, odd, monkeypatc
         assert np.allclose([r[3:] for r in got], [r[3:] for r in want], rtol=1e-9)
 
 
+def test_keys_stand_by_segment_and_are_probed_in_runs():
+    hashes = np.random.default_rng(4).integers(0, 1 << 64, 5000, np.uint64)
+    for n in (1, 16, 1973, 100_000):
+        segments = bloom_lm.segment_of(np.sort(hashes), n)
+        order, names, first = bloom_lm.by_segment(segments, n)
+        assert np.array_equal(order, np.argsort(segments, kind="stable"))
+        assert np.array_equal(names, np.unique(segments)) and np.array_equal(first, np.unique(segments[order], return_index=True)[1])
+    few = hashes % np.uint64(50)
+    assert np.array_equal(bloom_lm.distinct(few), np.unique(few)) and np.array_equal(bloom_lm.places(few), np.unique(few, return_inverse=True)[1])
+    assert len(bloom_lm.distinct(few[:0])) == len(bloom_lm.places(few[:0])) == len(bloom_lm.runs_of(few[:0])[0]) == 0
+    blobs = [b"ab", b"", b"cdef", b"g"]
+    assert list(bloom_lm.in_runs(blobs, 3)) == [[b"ab", b"", b"cdef"], [b"g"]] and list(bloom_lm.in_runs([b"", b""], 3)) == [[b"", b""]]
+
+
+def test_what_segments_are_asked_goes_with_each_pass(spark, documents, monkeypatch):
+    """Before, what all chunks asked and all counting tasks sent lay on disk until the end."""
+    monkeypatch.setattr(bloom_lm, "MOST_FILTER_BYTES", 1 << 12)
+    monkeypatch.setattr(bloom_lm, "CHUNK_BYTES", 1 << 16)
+    monkeypatch.setattr(bloom_lm, "ASKED_KEYS", 100)
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    exchanged = lambda: {x.rsplit("/", 1)[-1] for x in blocks.getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+    before = exchanged()
+    out = bloom_lm.lm_scores(documents)
+    assert not exchanged() - before
+    assert out.count() == documents.count()
+
+
 def test_segments_beyond_one_exchange_hold_the_same(documents, monkeypatch):
     monkeypatch.setattr(bloom_lm, "SEGMENT_BYTES", 1 << 13)
     want = scores(documents)
