@@ -1,14 +1,18 @@
-"""Groups of similar texts: MinHash candidates, verified on word shingles.
+"""Groups of similar texts: SimHash and MinHash candidates, verified on word shingles.
 
 Two texts are linked if the Jaccard similarity of their five-word shingles is
-``SIMILAR`` or more, computed exactly.  Candidates share a band: ``BANDS``
-hashes of ``ROWS`` MinHashes each of the same shingles.  A pair of similarity
-j is missed with probability (1 - j ** ROWS) ** BANDS: 6.4e-7 at 0.8 and less
-above, whatever the texts' length and wherever they differ.  (SimHash bits,
-which ``simhash_gph`` indexes, can't do this: texts of similarity 0.8 differ
-in 10 of 64 bits on average, and a radius that finds nearly all of them finds
-unrelated texts as well.)  Texts equal up to the case of A-Z and white space
-are one node from the start, so copies never meet as pairs.
+``SIMILAR`` or more, computed exactly.  Candidates come from two sources.
+Fingerprints of ``simhash_gph`` are linked by its index (correlated bits in
+partitions, thresholds by dynamic programming, probes and verification), and
+texts of one component of these links are candidates, as if they shared a
+band.  That finds few of the pairs near ``SIMILAR``: they differ in 10 of 64
+bits on average, and a radius that finds nearly all of them finds unrelated
+texts as well.  So for the rest, texts are candidates too that share one of
+``BANDS`` hashes of ``ROWS`` MinHashes each of the same shingles.  A pair of
+similarity j lacks such a band with probability (1 - j ** ROWS) ** BANDS:
+6.4e-7 at 0.8 and less above, whatever the texts' length and wherever they
+differ.  Texts equal up to the case of A-Z and white space are one node from
+the start, so copies never meet as pairs.
 
 MinHashes of at most ``SHORT`` shingles come from a function each.  Longer
 texts cut their shingles into ``BINS`` bins by hash, and ``FUNCTIONS``
@@ -50,7 +54,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .simhash_gph import SEED
+from .simhash_gph import SEED, fingerprint
+from .simhash_gph import links as fingerprint_links
 from .storage import small, written
 from .text import col, fresh, hashed_runs, mixed, shingles_by_text, tidy
 
@@ -118,13 +123,15 @@ def bands_of(sets: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def aligned(bands: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
-    """A row for each text, the bands of both kinds in columns of their own; where a text has none, a number of its own."""
-    out = -1 - np.arange(len(bands) * 2 * BANDS).reshape(len(bands), 2 * BANDS)
+    """A row for each text, the bands of both kinds and SimHash's in columns of their own; where a text has none, a number of its own."""
+    out = -1 - np.arange(len(bands) * (2 * BANDS + 1)).reshape(len(bands), 2 * BANDS + 1)
     for k, b in enumerate(bands):
+        if len(b) % BANDS:
+            out[k, -1], b = b[-1], b[:-1]
         if sizes[k] <= SHORT:
             out[k, : len(b)] = b
         else:
-            out[k, BANDS:] = b
+            out[k, BANDS:-1] = b
     return out
 
 
@@ -139,7 +146,7 @@ def distinct(x: np.ndarray) -> np.ndarray:
 
 
 def keyed_bands(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, h (hash of the text as it stands), key (of its words), bands of every row; rows of one key have the same."""
+    """doc_id, h (hash of the text as it stands), key (of its words), bands and fp (fingerprint) of every row; rows of one key have the same."""
     rows = docs.select(col(id_col).alias("doc_id"), text_hash(text_col).alias("h"), col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,15 +156,27 @@ def keyed_bands(docs: DataFrame, width: int, id_col: str, text_col: str) -> Data
             for rows in hashed_runs(t.as_py() for t in batch.column("text")):
                 keys += [xxhash.xxh3_128_digest(r) for r in rows]
                 bands += bands_of(shingle_sets_of(rows, width))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "h", "key", "bands"])
+            fps = np.frombuffer(b"".join([fingerprint(t.as_py()) for t in batch.column("text")]), ">i8").astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(fps)], ["doc_id", "h", "key", "bands", "fp"])
 
-    return rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, h long, key binary, bands array<long>")
+    return rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, h long, key binary, bands array<long>, fp long")
 
 
 def text_hash(text_col: str) -> Column:
     return F.xxhash64(col(text_col).cast("string"))
 
 
+def with_simhash_band(texts: DataFrame) -> DataFrame:
+    """``texts(node, bands, fp)`` without fp; a band more, behind the others, for those whose fingerprint is linked to another text's."""
+    at = texts.select("node", "fp")
+    roots = components(fingerprint_links(written(at.select("fp").distinct(), "fingerprints"))).withColumnsRenamed({"node": "fp"})
+    at = written(at.join(roots, "fp", "left").select("node", F.coalesce("root", "fp").alias("root")), "simhash")
+    several = at.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+    bands = small(at.join(several, "root").select("node", F.xxhash64(F.lit("simhash"), "root").alias("band")).distinct(), "simhash-bands")
+    more = F.when(F.col("band").isNull(), F.col("bands")).otherwise(F.concat("bands", F.array("band")))
+    return texts.drop("fp").join(bands, "node", "left").withColumn("bands", more).drop("band")
+
+
 def candidate_links(texts: DataFrame) -> DataFrame:
     """u, v that connect all of ``texts(node, bands)`` that share a band."""
     rows = texts.select("node", F.explode("bands").alias("band"))
@@ -302,8 +321,8 @@ def keyed_texts(docs: DataFrame, width: int, id_col: str, text_col: str) -> tupl
     rows = written(keyed_bands(docs, width, id_col, text_col), "keyed")
     least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     # a node is a hash of the key: two keys of one node would only be one candidate more
-    texts = rows.groupBy("key").agg(F.first("bands").alias("bands"), F.min(least).alias("least"), F.count("*").alias("rows"), F.xxhash64("key").alias("node"))
-    return rows.drop("bands"), written(texts, "texts")
+    texts = rows.groupBy("key").agg(F.first("bands").alias("bands"), F.first("fp").alias("fp"), F.min(least).alias("least"), F.count("*").alias("rows"), F.xxhash64("key").alias("node"))
+    return rows.drop("bands", "fp"), with_simhash_band(written(texts, "texts"))
 
 
 def similar_groups(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

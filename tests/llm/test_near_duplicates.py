@@ -157,6 +157,23 @@ def test_similar_groups(spark, monkeypatch, members, one_task):
         assert kept == set(want) and {0, 19} <= kept and not kept & {45, 46}
 
 
+@pytest.mark.parametrize("members", [512, 2])
+def test_fingerprints_alone_find_what_their_index_links(spark, monkeypatch, members):
+    monkeypatch.setattr(similar_texts, "bands_of", lambda sets: [(s[:36] >> np.uint64(1)).view(np.int64) ^ int(s.sum() >> np.uint64(8)) for s in sets])  # none in common
+    monkeypatch.setattr(similar_texts, "MEMBERS", members)
+    words = [prose(k, 900).split() for k in (70, 71, 72)]
+    texts = [" ".join(w) for w in words] + [" ".join([*w[:at], "changed", *w[at + 1 :]]) for w in words for at in (100, 500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fps = {k: brute_fingerprint(t) for k, t in enumerate(texts)}
+    linked, similar = brute_components(fps), connected(dict(enumerate(texts)))
+    assert len(set(linked.values())) < len(texts)
+    want: dict[int, list[int]] = {}
+    for k in linked:
+        assert similar[k] == similar[linked[k]]
+        want.setdefault(linked[k], []).append(k)
+    assert by_group(similar_texts.similar_groups(docs).collect()) == sorted(want.values())
+
+
 def test_a_chain_across_blocks_stays_one_group(spark, monkeypatch):
     monkeypatch.setattr(similar_texts, "MEMBERS", 3)
     words, texts = prose(70, 160).split(), {}
